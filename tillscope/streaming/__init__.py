@@ -1,0 +1,5 @@
+"""No streaming operators.
+
+The workload this package covers is one bounded read of an order-line table,
+without watermarks, time windows or state, so there is nothing to build here.
+"""
