@@ -262,11 +262,12 @@ def sweep_k(
     ks: Sequence[int] = tuple(range(2, 9)),
     seed: int = SEED,
     features: Sequence[str] = FEATURES,
+    with_indices: bool = True,
 ) -> DataFrame:
     """Bisecting k-means for every k: within-cluster squares and three indices.
 
     One row per k; every fit and every index is a distributed job over one
-    materialised table.
+    materialised table. ``with_indices=False`` leaves the indices null.
     """
     spark = base.sparkSession
     vectors = materialise(_vectors(base, features))
@@ -274,19 +275,17 @@ def sweep_k(
     rows = []
     for k in ks:
         model = BisectingKMeans(k=k, seed=seed).fit(vectors)
-        found = model.transform(vectors)
-        indices = validity_indices(
-            found.withColumn("cluster", F.col("prediction") + 1), features
-        ).first()
-        rows.append(
-            (
-                int(k),
-                float(model.summary.trainingCost),
+        row = [int(k), float(model.summary.trainingCost), None, None, None]
+        if with_indices:
+            found = model.transform(vectors)
+            labelled = found.withColumn("cluster", F.col("prediction") + 1)
+            indices = validity_indices(labelled, features).first()
+            row[2:] = [
                 float(silhouette.evaluate(found)),
                 float(indices["calinski_harabasz"]),
                 float(indices["davies_bouldin"]),
-            )
-        )
+            ]
+        rows.append(tuple(row))
     return spark.createDataFrame(
         rows,
         "k long, within_ss double, silhouette double, "

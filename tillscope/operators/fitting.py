@@ -28,32 +28,32 @@ LOWEST, HIGHEST = 1e-4, 1e4
 SPEND_HIGHEST = 1e9  # gamma carries the unit of money
 
 
+def _candidate_table(candidates: Sequence[Mapping[str, float]]) -> Column:
+    """The candidates as a constant array, written as one SQL literal."""
+    rows = (
+        ", ".join([f"{i} AS candidate", *[f"{float(v)!r}D AS _{k}" for k, v in c.items()]])
+        for i, c in enumerate(candidates)
+    )
+    return F.expr("array(" + ", ".join(f"struct({row})" for row in rows) + ")")
+
+
+def weighted(objective: Objective, names: Sequence[str], weight: str | None) -> Column:
+    """The objective over the parameter columns of a candidate, times the weight."""
+    value = objective({name: F.col(f"_{name}") for name in names})
+    return F.col(weight) * value if weight else value
+
+
 def score_candidates(
-    data: DataFrame,
-    candidates: Sequence[Mapping[str, float]],
-    objective: Objective,
-    weight: str | None = "weight",
+    data: DataFrame, candidates: Sequence[Mapping[str, float]], value: Column
 ) -> DataFrame:
     """Log-likelihood of every candidate as ``(candidate, log_likelihood)``.
 
-    The candidates are a constant array spread over each row, so one scan scores
-    them all, and only one partial sum per task and candidate is shuffled.
+    ``value`` comes from ``weighted``. The candidates are a constant array spread
+    over each row, so one scan scores them all, and only one partial sum per task
+    and candidate is shuffled.
     """
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("candidate"),
-                *[F.lit(float(v)).alias(f"_{k}") for k, v in c.items()],
-            )
-            for i, c in enumerate(candidates)
-        ]
-    )
-    params = {k: F.col(f"_{k}") for k in candidates[0]}
-    value = objective(params)
-    if weight:
-        value = F.col(weight) * value
     return (
-        data.select("*", F.inline(table))
+        data.select("*", F.inline(_candidate_table(candidates)))
         .select("candidate", value.alias("_value"))
         .groupBy("candidate")
         .agg(F.sum("_value").alias("log_likelihood"))
@@ -119,14 +119,15 @@ def fit(
     low = np.full(len(names), math.log(LOWEST))
     high = np.log([(highest or {}).get(name, HIGHEST) for name in names])
     steps = np.full(len(names), step)
+    value = weighted(objective, names, weight)
 
     def evaluate(points: Sequence[np.ndarray]) -> np.ndarray:
         candidates = [dict(zip(names, np.exp(p), strict=True)) for p in points]
         found = np.full(len(points), -np.inf)
-        for row in score_candidates(data, candidates, objective, weight).collect():
-            value = row["log_likelihood"]
-            if value is not None and math.isfinite(value):
-                found[row["candidate"]] = value
+        for row in score_candidates(data, candidates, value).collect():
+            total = row["log_likelihood"]
+            if total is not None and math.isfinite(total):
+                found[row["candidate"]] = total
         return found
 
     proposal = np.clip(np.log([start[name] for name in names]), low, high)
@@ -172,18 +173,24 @@ def parameters(fitted: DataFrame) -> dict[str, float]:
     return {k: float(v) for k, v in row.asDict().items()}
 
 
+def _spread(data: DataFrame) -> DataFrame:
+    """Materialise evenly over all cores: few bytes per row, but much arithmetic."""
+    cores = data.sparkSession.sparkContext.defaultParallelism
+    return materialise(data.repartition(cores))
+
+
 def fit_bgnbd(history: DataFrame, start: Mapping[str, float] = BGNBD_START, **options) -> DataFrame:
     """BG/NBD parameters (r, alpha, a, b) from a purchase history."""
-    return fit(materialise(compress(history)), bgnbd_log_likelihood, start, **options)
+    return fit(_spread(compress(history)), bgnbd_log_likelihood, start, **options)
 
 
 def fit_pnbd(history: DataFrame, start: Mapping[str, float] = PNBD_START, **options) -> DataFrame:
     """Pareto/NBD parameters (r, alpha, s, beta) from a purchase history."""
-    return fit(materialise(compress(history)), pnbd_log_likelihood, start, **options)
+    return fit(_spread(compress(history)), pnbd_log_likelihood, start, **options)
 
 
 def fit_spend(history: DataFrame, start: Mapping[str, float] = SPEND_START, **options) -> DataFrame:
     """Gamma-Gamma parameters (p, q, gamma) from repeat buyers."""
     options.setdefault("highest", {"gamma": SPEND_HIGHEST})
-    buyers = materialise(repeat_buyers(history).select("x", "m_x"))
+    buyers = _spread(repeat_buyers(history).select("x", "m_x"))
     return fit(buyers, spend_log_likelihood, start, weight=None, **options)

@@ -68,7 +68,8 @@ def exact_quantiles(
         )
     ).alias("_slot")
     # Three kinds of row: 0 below the bracket, 1 inside it, 2 above it. Only kind
-    # 1 keeps its value in the grouping key.
+    # 1 keeps its value in the grouping key; the other two keep the value next to
+    # the bracket, which may be the wanted one when the group is tiny.
     kind = (
         F.when(F.col("value") < F.col("_slot.low"), 0)
         .when(F.col("value") <= F.col("_slot.high"), 1)
@@ -86,7 +87,12 @@ def exact_quantiles(
             "_kind",
             F.when(F.col("_kind") == 1, F.col("value")).alias("_inside"),
         )
-        .agg(F.count(F.lit(1)).alias("_rows"), F.min("value").alias("value"))
+        .agg(
+            F.count(F.lit(1)).alias("_rows"),
+            F.min("value").alias("_least"),
+            F.max("value").alias("_greatest"),
+        )
+        .withColumn("value", F.when(F.col("_kind") == 0, F.col("_greatest")).otherwise(F.col("_least")))
     )
     upto = (
         Window.partitionBy(*keys, "slot")
@@ -96,9 +102,11 @@ def exact_quantiles(
     position = F.col("p") * (F.col("n") - 1)
     low_rank, high_rank = F.floor(position) + 1, F.ceil(position) + 1
     ranked = counted.withColumn("_upto", F.sum("_rows").over(upto))
-    # A wanted rank below the bracket would mean a broken sketch: fail, not guess.
+    # A wanted rank deeper below or above would mean a broken sketch: fail, not guess.
+    too_low = (F.col("_kind") == 0) & (F.col("_upto") > low_rank)
+    too_high = (F.col("_kind") == 2) & (F.col("_upto") - F.col("_rows") + 1 < high_rank)
     guarded = F.when(
-        (F.col("_kind") == 0) & (F.col("_upto") >= low_rank),
+        too_low | too_high,
         F.raise_error(F.lit("quantile bracket misses its rank")).cast("double"),
     ).otherwise(F.col("value"))
     picked = (
