@@ -27,7 +27,11 @@ _GROUP_LEVELS = 6
 _ITEM_SETS = itemset_blocks("items", ITEM_SUPPORT, _ITEM_LEVELS)
 _ITEM_RULES = rule_blocks("items", ITEM_SUPPORT, ITEM_CONFIDENCE, _ITEM_LEVELS)
 _GROUP_RULES = rule_blocks("groups", GROUP_SUPPORT, GROUP_CONFIDENCE, _GROUP_LEVELS)
-_PRUNED = {**rule_blocks("items", ITEM_SUPPORT, PRUNE_CONFIDENCE, _ITEM_LEVELS), "kept": PRUNED}
+_PRUNED = {
+    **rule_blocks("items", ITEM_SUPPORT, PRUNE_CONFIDENCE, _ITEM_LEVELS),
+    "kept": PRUNED,
+    "kept_items": "SELECT DISTINCT unnest(items) AS item FROM kept",
+}
 _PRICED = {
     **_PRUNED,
     "parts": "SELECT rule, unnest(items) AS item FROM kept",
@@ -171,7 +175,7 @@ def mba_rank_by_lift(spark, root):
 @query(
     "mba_item_margin",
     sql("items item_margin", "SELECT item, round(margin, 8) AS margin FROM item_margin "
-        "WHERE item IN (SELECT unnest(items) FROM kept)", **_PRUNED),
+        "JOIN kept_items USING (item)", **_PRUNED),
 )
 def mba_item_margin(spark, root):
     found = margins.item_margins_for(_kept(spark, root), item_margins(spark, root))
@@ -180,13 +184,10 @@ def mba_item_margin(spark, root):
 
 @query(
     "agg_quantiles",
-    sql("items item_margin", "SELECT p, round(quantile_cont(margin, p), 8) AS margin FROM "
-        "item_margin CROSS JOIN (VALUES (0.0::DOUBLE), (0.25), (0.5), (0.75), (1.0)) AS t(p) "
-        "WHERE item IN (SELECT unnest(items) FROM kept) GROUP BY p", **_PRUNED)
-    .replace("quantile_cont(margin, p)",
-             "CASE p WHEN 0.0 THEN min(margin) WHEN 0.25 THEN quantile_cont(margin, 0.25) "
-             "WHEN 0.5 THEN quantile_cont(margin, 0.5) WHEN 0.75 THEN quantile_cont(margin, 0.75) "
-             "ELSE max(margin) END"),
+    sql("items item_margin", "SELECT unnest([0.0::DOUBLE, 0.25, 0.5, 0.75, 1.0]) AS p, "
+        "round(unnest(q), 8) AS margin FROM (SELECT quantile_cont(m.margin, "
+        "[0.0, 0.25, 0.5, 0.75, 1.0]) AS q FROM item_margin m JOIN kept_items k "
+        "ON k.item = m.item)", **_PRUNED),
 )
 def agg_quantiles(spark, root):
     levels = [0.0, 0.25, 0.5, 0.75, 1.0]
