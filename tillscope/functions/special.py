@@ -50,12 +50,8 @@ def log_add(u: Column, v: Column) -> Column:
     return F.coalesce(both, u, v)
 
 
-def _hyp2f1_series(a: np.ndarray, b: np.ndarray, c: np.ndarray, z: np.ndarray) -> np.ndarray:
-    # Euler's transformation first where it makes the terms smaller; then sum
-    # until every row's term has vanished, keeping only rows still at work.
-    euler = np.abs((c - a) * (c - b)) < np.abs(a * b)
-    factor = np.where(euler, (1.0 - z) ** np.where(euler, c - a - b, 0.0), 1.0)
-    a, b = np.where(euler, c - a, a), np.where(euler, c - b, b)
+def _series(a: np.ndarray, b: np.ndarray, c: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Sum the power series until every row's term has vanished."""
     total = np.ones_like(z)
     rows = np.arange(z.size)
     term = np.ones_like(z)
@@ -65,10 +61,54 @@ def _hyp2f1_series(a: np.ndarray, b: np.ndarray, c: np.ndarray, z: np.ndarray) -
         total[rows] += term
         n += 1
         # Late terms shrink at least by about |z| each, so this bounds the rest.
-        rest = np.abs(term) > 1e-16 * (1.0 - np.abs(z[rows])) * np.abs(total[rows])
-        rest |= n < -np.minimum(a[rows], b[rows])
-        rows, term = rows[rest], term[rest]
-    return factor * total
+        going = np.abs(term) > 1e-16 * (1.0 - np.abs(z[rows])) * np.abs(total[rows])
+        going |= n < -np.minimum(a[rows], b[rows])
+        rows, term = rows[going], term[going]
+    return total
+
+
+def _fraction(b: np.ndarray, c: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """F(1, b; c; z) by Gauss' continued fraction (Lentz' method).
+
+    Needs about 1/sqrt(1 - z) steps where the series needs 1/(1 - z).
+    """
+    value = np.ones_like(z)
+    rows = np.arange(z.size)
+    up, down = np.ones_like(z), np.zeros_like(z)
+    n = 0
+    while rows.size:
+        k, odd = divmod(n, 2)
+        bb, cc = b[rows], c[rows]
+        if odd:
+            part = (k + 1) * (cc - bb + k) / ((cc + 2 * k) * (cc + 2 * k + 1))
+        elif k:
+            part = (bb + k) * (cc + k - 1) / ((cc + 2 * k - 1) * (cc + 2 * k))
+        else:
+            part = bb / cc
+        part = -part * z[rows]
+        down = 1.0 / (1.0 + part * down)
+        up = 1.0 + part / up
+        change = up * down
+        value[rows] *= change
+        going = np.abs(change - 1.0) > 3e-16  # one unit in the last place either way
+        rows, up, down = rows[going], up[going], down[going]
+        n += 1
+    return 1.0 / value
+
+
+def _hyp2f1_values(a: np.ndarray, b: np.ndarray, c: np.ndarray, z: np.ndarray) -> np.ndarray:
+    # Euler's transformation first where it makes the terms smaller.
+    euler = np.abs((c - a) * (c - b)) < np.abs(a * b)
+    factor = np.where(euler, (1.0 - z) ** np.where(euler, c - a - b, 0.0), 1.0)
+    a, b = np.where(euler, c - a, a), np.where(euler, c - b, b)
+    # A parameter equal to 1, up to the rounding of the subtraction above.
+    one_a, one_b = np.abs(a - 1.0) < 1e-9, np.abs(b - 1.0) < 1e-9
+    simple = (one_a | one_b) & (z > 0)
+    b = np.where(simple & ~one_a, a, b)
+    out = np.empty_like(z)
+    out[simple] = _fraction(b[simple], c[simple], z[simple])
+    out[~simple] = _series(a[~simple], b[~simple], c[~simple], z[~simple])
+    return factor * out
 
 
 @F.pandas_udf(DoubleType())
@@ -77,7 +117,7 @@ def _hyp2f1(a: pd.Series, b: pd.Series, c: pd.Series, z: pd.Series) -> pd.Series
     args = [s.to_numpy(dtype=float) for s in (a, b, c, z)]
     # Null or out-of-range rows stay NaN.
     good = np.isfinite(np.sum(args, axis=0)) & (np.abs(args[3]) < 1)
-    out[good] = _hyp2f1_series(*[v[good] for v in args])
+    out[good] = _hyp2f1_values(*[v[good] for v in args])
     return pd.Series(out)
 
 

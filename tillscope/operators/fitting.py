@@ -20,11 +20,14 @@ from tillscope.session import materialise
 
 Objective = Callable[[Mapping[str, Column]], Column]
 
-# Where the search starts, and the box that holds every parameter.
+# Where the search starts (the spend scale follows the data), and the box that
+# holds every parameter.
 BGNBD_START = {"r": 1.0, "alpha": 10.0, "a": 0.5, "b": 3.0}
 PNBD_START = {"r": 1.0, "alpha": 10.0, "s": 0.5, "beta": 10.0}
 SPEND_START = {"p": 2.0, "q": 4.0, "gamma": 100.0}
 LOWEST, HIGHEST = 1e-4, 1e4
+_REACHES = (2.0, 4.0, 8.0)
+_NEAR = 1e-6
 SPEND_HIGHEST = 1e9  # gamma carries the unit of money
 
 
@@ -60,46 +63,66 @@ def score_candidates(
     )
 
 
-def _stencil(center: np.ndarray, step: np.ndarray) -> list[np.ndarray]:
-    """Centre, two points per axis and one per pair of axes: fits a quadratic."""
-    size = center.size
-    axes = np.eye(size) * step
-    points = [center]
-    points += [center + sign * axes[i] for i in range(size) for sign in (1, -1)]
-    points += [center + axes[i] + axes[j] for i in range(size) for j in range(i + 1, size)]
-    return points
+def _stencil(center: np.ndarray, step: float) -> list[np.ndarray]:
+    """Centre, two points per axis and two per pair of axes: fits a quadratic."""
+    axes = np.eye(center.size) * step
+    moves = list(axes)
+    moves += [axes[i] + axes[j] for i in range(center.size) for j in range(i + 1, center.size)]
+    return [center, *[center + sign * move for move in moves for sign in (1, -1)]]
 
 
 def _quadratic_move(
-    values: np.ndarray, step: np.ndarray, size: int, radius: float
+    values: np.ndarray, step: float, radius: float, below: np.ndarray, above: np.ndarray
 ) -> np.ndarray | None:
-    """Ascent step from the stencil's quadratic, no longer than ``radius``."""
+    """Ascent step from the stencil's quadratic, no longer than ``radius``.
+
+    ``below`` and ``above`` mark parameters on the edge of the box; those that the
+    gradient would push out stay where they are.
+    """
+    size = below.size
     up, down = values[1 : 2 * size + 1 : 2], values[2 : 2 * size + 1 : 2]
     gradient = (up - down) / (2 * step)
-    hessian = np.diag((up + down - 2 * values[0]) / step**2)
+    bend = up + down - 2 * values[0]
+    hessian = np.diag(bend / step**2)
     at = 2 * size + 1
     for i in range(size):
         for j in range(i + 1, size):
-            cross = (values[at] - up[i] - up[j] + values[0]) / (step[i] * step[j])
-            hessian[i, j] = hessian[j, i] = cross
-            at += 1
+            both = values[at] + values[at + 1] - 2 * values[0]
+            hessian[i, j] = hessian[j, i] = (both - bend[i] - bend[j]) / (2 * step**2)
+            at += 2
     if not (np.isfinite(gradient).all() and np.isfinite(hessian).all()):
         return None
-    # Curvature bent to point downwards, so the move always climbs.
-    curvature, axes = np.linalg.eigh(hessian)
-    bent = np.maximum(np.abs(curvature), 1e-8 * max(1.0, np.abs(curvature).max()))
-    move = axes @ ((axes.T @ gradient) / bent)
+    free = ~((above & (gradient > 0)) | (below & (gradient < 0)))
+    move = np.zeros(size)
+    while free.any():
+        # Curvature bent to point downwards, so the move always climbs.
+        curvature, axes = np.linalg.eigh(hessian[np.ix_(free, free)])
+        bent = np.maximum(np.abs(curvature), 1e-8 * max(1.0, np.abs(curvature).max()))
+        move = np.zeros(size)
+        move[free] = axes @ ((axes.T @ gradient[free]) / bent)
+        leaving = (above & (move > 0)) | (below & (move < 0))
+        if not leaving.any():
+            break
+        free &= ~leaving
+        move = np.zeros(size)
     length = np.linalg.norm(move)
     return move if length <= radius else move * (radius / length)
 
 
+def _inside(base: np.ndarray, move: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """``base + move``, the move shortened as a whole where it would leave the box."""
+    room = np.where(move > 0, high - base, base - low)
+    share = np.min(np.where(move != 0, room / np.maximum(np.abs(move), 1e-300), 1.0), initial=1.0)
+    return base + move * max(0.0, share)
+
+
 def fit(
     data: DataFrame,
     objective: Objective,
     start: Mapping[str, float],
     weight: str | None = "weight",
-    rounds: int = 25,
-    step: float = 0.05,
+    rounds: int = 40,
+    step: float = 0.01,
     radius: float = 1.0,
     tolerance: float = 1e-9,
     highest: Mapping[str, float] | None = None,
@@ -116,9 +139,9 @@ def fit(
     Returns one row: the parameters, ``log_likelihood`` and ``at_edge``.
     """
     names = list(start)
-    low = np.full(len(names), math.log(LOWEST))
+    size = len(names)
+    low = np.full(size, math.log(LOWEST))
     high = np.log([(highest or {}).get(name, HIGHEST) for name in names])
-    steps = np.full(len(names), step)
     value = weighted(objective, names, weight)
 
     def evaluate(points: Sequence[np.ndarray]) -> np.ndarray:
@@ -130,38 +153,42 @@ def fit(
                 found[row["candidate"]] = total
         return found
 
-    proposal = np.clip(np.log([start[name] for name in names]), low, high)
-    best, best_value = proposal, -math.inf
-    base, base_values, base_steps = proposal, None, steps
+    # Centres keep a distance from the edge, so that the stencil stays inside.
+    low, high = low + step, high - step
+    center = np.clip(np.log([start[name] for name in names]), low, high)
+    best, best_value = center, -math.inf
+    base, base_values, move = center, None, None
     for _ in range(rounds):
-        # Keep the whole stencil inside the box.
-        center = np.clip(proposal, low + steps, high - steps)
-        points = _stencil(center, steps)
+        points = _stencil(center, step)
+        measured = len(points)
+        if move is not None:
+            # A bent valley rewards a longer move: try a few in the same job.
+            points += [_inside(base, move * reach, low, high) for reach in _REACHES]
         values = evaluate(points)
         top = int(np.argmax(values))
         gained = values[top] - best_value
         if gained > 0:
             best, best_value = points[top], float(values[top])
-            base, base_values, base_steps = center, values, steps
             radius = min(radius * 1.5, 3.0)
             if gained < tolerance * abs(best_value):
                 break
+            if top >= measured:
+                center, move = best, None
+                continue
+            base, base_values = center, values[:measured]
         else:
             radius /= 4
-            if radius < 1e-6:
+            if radius < 1e-6 or base_values is None:
                 break
-        if base_values is None:
-            break
-        move = _quadratic_move(base_values, base_steps, len(names), radius)
+        move = _quadratic_move(
+            base_values, step, radius, base <= low + _NEAR, base >= high - _NEAR
+        )
         if move is None:
             # Unbounded somewhere on the stencil: go to its best point instead.
-            proposal = best
-            continue
-        if np.linalg.norm(move) < steps.max():
-            # Close to the top: a finer stencil measures the curvature better.
-            steps = np.maximum(steps / 2, 5e-3)
-        proposal = base + move
-    edge = bool(np.any((best - low < 2 * step) | (high - best < 2 * step)))
+            center = np.clip(best, low, high)
+        else:
+            center = _inside(base, move, low, high)
+    edge = bool(np.any((best <= low + _NEAR) | (best >= high - _NEAR)))
     row = (*[float(math.exp(v)) for v in best], best_value, edge)
     schema = ", ".join([*[f"{name} double" for name in names], "log_likelihood double"])
     return data.sparkSession.createDataFrame([row], f"{schema}, at_edge boolean")
@@ -193,4 +220,7 @@ def fit_spend(history: DataFrame, start: Mapping[str, float] = SPEND_START, **op
     """Gamma-Gamma parameters (p, q, gamma) from repeat buyers."""
     options.setdefault("highest", {"gamma": SPEND_HIGHEST})
     buyers = _spread(repeat_buyers(history).select("x", "m_x"))
+    mean = buyers.agg(F.avg("m_x")).first()[0]
+    if mean and start is SPEND_START:
+        start = {**start, "gamma": mean * (start["q"] - 1) / start["p"]}
     return fit(buyers, spend_log_likelihood, start, weight=None, **options)
