@@ -13,9 +13,10 @@ def order_items(lines: DataFrame, item: str = ITEM, order: str = ORDER) -> DataF
     """Distinct ``(order_id, item)`` pairs.
 
     The shuffle key holds both columns, so even an order with a third of all
-    lines is spread over the cluster.
+    lines is spread over the cluster. Lines without an item are no part of a basket.
     """
-    return lines.select(F.col(order).alias("order_id"), F.col(item).alias("item")).distinct()
+    pairs = lines.select(F.col(order).alias("order_id"), F.col(item).alias("item"))
+    return pairs.where("item IS NOT NULL").distinct()
 
 
 def collect_baskets(lines: DataFrame, item: str = ITEM, order: str = ORDER) -> DataFrame:
@@ -24,11 +25,12 @@ def collect_baskets(lines: DataFrame, item: str = ITEM, order: str = ORDER) -> D
     Repeats are gone before the items are gathered, so an array is never longer
     than the catalogue. Titles are never split, whatever they contain.
     """
-    return (
-        order_items(lines, item, order)
-        .groupBy("order_id")
-        .agg(F.array_sort(F.collect_list("item")).alias("items"))
-    )
+    return baskets_of(order_items(lines, item, order))
+
+
+def baskets_of(pairs: DataFrame) -> DataFrame:
+    """Gather ``(order_id, item)`` pairs into one sorted array per order."""
+    return pairs.groupBy("order_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
 
 
 def collapse_items(lines: DataFrame, item: str = ITEM, order: str = ORDER) -> DataFrame:
@@ -47,8 +49,13 @@ def collapse_items(lines: DataFrame, item: str = ITEM, order: str = ORDER) -> Da
 
 
 def count_baskets(pairs: DataFrame) -> DataFrame:
-    """The number of baskets as one row."""
-    return pairs.agg(F.count_distinct("order_id").alias("n_baskets"))
+    """The number of baskets as one row.
+
+    Counts the pairs of each order on the way. A distinct count of orders would
+    drop the item column and so could not share the shuffle that made the pairs.
+    """
+    sizes = pairs.groupBy("order_id").agg(F.count("item").alias("_size")).where("_size > 0")
+    return sizes.agg(F.count(F.lit(1)).alias("n_baskets"))
 
 
 def frequent_items(pairs: DataFrame, min_support: float) -> DataFrame:
@@ -111,7 +118,8 @@ def basket_summary(pairs: DataFrame, top: int = 5) -> DataFrame:
         .groupBy("size")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    items = pairs.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    # The filter keeps the count in the plan, and with it the shared shuffle.
+    items = pairs.groupBy("item").agg(F.count("order_id").alias("n")).where("n > 0")
     quartiles = F.percentile("size", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n"))
     basket_side = sizes.agg(
         F.sum("n").alias("baskets"),

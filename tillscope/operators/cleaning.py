@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.operators.ordering import row_index
-from tillscope.session import broadcast_if_small
+from tillscope.session import broadcast_if_small, materialise
 from tillscope.sources.order_lines import VALUE
 
 GROUP = "product_group_level_1"
@@ -61,13 +61,24 @@ def keep_positive(df: DataFrame, column: str = VALUE) -> DataFrame:
 def factor_codes(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Add ``<column>_code``: the 1-based rank of the label among sorted labels.
 
-    Only the distinct labels are ranked (see ``row_index``, which materialises
-    them); the codes come back by an equi join.
+    The distinct labels of all columns come from one pass; only they are ranked
+    (and materialised, see ``row_index``). The codes come back by equi joins.
     """
+    columns = list(columns)
+    labels = df.unpivot([], columns, "_variable", "_label").where("_label IS NOT NULL").distinct()
+    ranked = row_index(labels, ["_variable", "_label"], name="_id")
+    starts = ranked.groupBy("_variable").agg(F.min("_id").alias("_start"))  # one row per column
+    codes = materialise(
+        ranked.join(F.broadcast(starts), "_variable").select(
+            "_variable", "_label", (F.col("_id") - F.col("_start") + 1).alias("_code")
+        )
+    )
     for column in columns:
-        labels = df.select(F.col(column).alias("_label")).where("_label IS NOT NULL").distinct()
-        codes = broadcast_if_small(row_index(labels, ["_label"], name=f"{column}_code"))
-        df = df.join(codes, df[column] == codes["_label"], "left").drop("_label")
+        own = codes.where(F.col("_variable") == column).select(
+            "_label", F.col("_code").alias(f"{column}_code")
+        )
+        own = broadcast_if_small(own)
+        df = df.join(own, df[column] == own["_label"], "left").drop("_label")
     return df
 
 

@@ -65,7 +65,11 @@ def top_outliers(base: DataFrame, k: int = 10, features: Sequence[str] = FEATURE
 
 
 def drop_outliers(base: DataFrame, k: int = 5, features: Sequence[str] = FEATURES) -> DataFrame:
-    """Remove the k farthest rows; only k ids are broadcast."""
+    """Remove the k farthest rows; only k ids are broadcast.
+
+    Reads ``base`` three times, and Spark pushes the anti join below the grouping
+    that made it: pass a materialised table.
+    """
     ids = top_outliers(base, k, features).select("customer_id")
     return base.join(F.broadcast(ids), "customer_id", "left_anti")
 

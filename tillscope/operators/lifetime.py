@@ -231,8 +231,9 @@ def spend_distribution(
     values = columns_of(params)
     buyers = repeat_buyers(history)
     cell = F.least(F.floor(F.col("m_x") / width), F.lit(bins - 1)).cast("long")
-    actual = buyers.groupBy(cell.alias("bin")).agg(F.count(F.lit(1)).alias("actual"))
-    counts = buyers.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    cells = buyers.groupBy("x", cell.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    actual = cells.groupBy("bin").agg(F.sum("n").alias("actual"))
+    counts = cells.groupBy("x").agg(F.sum("n").alias("n"))
     grid = counts.select(
         F.col("x").cast("double").alias("x"),
         "n",

@@ -8,7 +8,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillscope.operators.baskets import frequent_baskets
+from tillscope.operators.baskets import baskets_of
 from tillscope.session import materialise
 
 # Default thresholds of the rule search.
@@ -35,10 +35,11 @@ def mine_itemsets(
 ) -> Itemsets:
     """Itemsets in at least ``ceil(min_support * baskets)`` baskets.
 
-    Runs FP-growth. Baskets and itemsets are materialised, since the miner and
-    the rules read them several times.
+    Runs FP-growth, which drops infrequent items before it passes baskets on.
+    Baskets and itemsets are materialised, since the miner and the rules read them
+    several times.
     """
-    baskets = materialise(frequent_baskets(pairs, min_support).select("items"))
+    baskets = materialise(baskets_of(pairs).select("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support).fit(baskets)
     found = model.freqItemsets.where(F.size("items") <= max_length)
     table = materialise(

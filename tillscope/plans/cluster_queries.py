@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tillscope.operators import clustering
 from tillscope.plans.registry import query, rounded
 from tillscope.plans.views import ANALYSIS_DATE, quantile, sql
+from tillscope.session import materialise
 from tillscope.sources.order_lines import VALUE, order_lines
 
 _FEATURES = clustering.FEATURES
@@ -58,7 +59,7 @@ def _base(spark, root):
 
 
 def _inliers(spark, root):
-    return clustering.drop_outliers(_base(spark, root))
+    return clustering.drop_outliers(materialise(_base(spark, root)))
 
 
 def _lloyd(spark, root):

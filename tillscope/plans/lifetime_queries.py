@@ -404,7 +404,7 @@ _SCORE_COLUMNS = (
 @query("clv_score", sql("cbs holdout", _SCORE_COLUMNS, **_SCORED))
 def clv_score(spark, root):
     """The score from its parts: separate aggregates, joined as left joins."""
-    log = _event_log(spark, root)
+    log = materialise(_event_log(spark, root))
     history = lifetime.cbs(log, CUTOFF).join(lifetime.mean_spend(log, CUTOFF), "cust")
     history = history.join(lifetime.holdout_actuals(log, CUTOFF), "cust", "left")
     scored = lifetime.score(history, BG, PARETO, SPEND)

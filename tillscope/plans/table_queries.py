@@ -8,7 +8,7 @@ from tillscope.operators import baskets, cleaning, lifetime, ordering, profiling
 from tillscope.operators.clustering import FEATURES, cluster_base
 from tillscope.plans.registry import query, rounded
 from tillscope.plans.views import ANALYSIS_DATE, CUTOFF, ITEM_SUPPORT, MAX_DAYS, sql
-from tillscope.session import scratch_path
+from tillscope.session import materialise, scratch_path
 from tillscope.sources.basket_text import read_basket_text, write_basket_text
 from tillscope.sources.order_lines import COLUMNS, VALUE, order_lines, raw_order_lines, table
 
@@ -412,7 +412,7 @@ def join_inner(spark, root):
         "FROM cbs c LEFT JOIN holdout h ON h.cust = c.cust LEFT JOIN cbs k ON k.cust = c.cust"),
 )
 def join_left_chain(spark, root):
-    log = _event_log(spark, root)
+    log = materialise(_event_log(spark, root))
     actual = lifetime.holdout_actuals(log, CUTOFF)
     base = lifetime.cbs(log, CUTOFF).select("cust", "x")
     joined = (
@@ -725,7 +725,8 @@ def limit_tail(spark, root):
         "ORDER BY md5(customer_id || '#123'), customer_id LIMIT 500"),
 )
 def sample_n(spark, root):
-    base = _customers(spark, root).select("customer_id", "frequency")
+    # Sampled from a materialised table: the sampler reads it three times.
+    base = materialise(_customers(spark, root).select("customer_id", "frequency"))
     return ordering.sample_n(base, 500, "customer_id", seed=123)
 
 
