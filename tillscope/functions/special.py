@@ -6,10 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from tillscope.session import ship_package
+
 
 def as_column(value: Column | float | int | str) -> Column:
     if isinstance(value, Column):
@@ -128,4 +130,7 @@ def hyp2f1(a: Column, b: Column, c: Column, z: Column) -> Column:
     of terms has no generated-code form, and a fold over ``sequence`` is
     interpreted, 30 times slower per row than this vectorised sum (measured).
     """
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        ship_package(session)
     return _hyp2f1(*[v.cast("double") for v in (a, b, c, z)])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -42,16 +45,37 @@ def build_session(
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per context.
+
+    Functions that run in a worker are pickled by reference, so a worker must be
+    able to import them whatever folder the driver was started in.
+    """
+    context = spark.sparkContext
+    package = os.path.dirname(os.path.abspath(__file__))
+    if getattr(context, "_tillscope_shipped", False) or not os.path.isdir(package):
+        return
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="tillscope-ship-"), "tillscope"),
+        "zip",
+        os.path.dirname(package),
+        os.path.basename(package),
+    )
+    context.addPyFile(archive)
+    context._tillscope_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session may go without the setting; it gets a temporary folder.
+    Only a session whose executors are threads of the driver (master ``local`` or
+    ``local[n]``) may go without the setting; it gets a temporary folder.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     folder = tempfile.mkdtemp(prefix="tillscope-")
     context.setCheckpointDir(folder)
