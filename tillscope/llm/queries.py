@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillscope.llm import quality_rules
+from tillscope.llm import line_dedup, quality_rules, simhash
 from tillscope.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -26,3 +26,44 @@ def op1_quality_rules(spark: SparkSession, root: str) -> DataFrame:
         "base_failed",
         "kept",
     )
+
+
+@query("op4_simhash")
+def op4_simhash(spark: SparkSession, root: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, root, "documents"), width=3)
+    return found.select(
+        "doc_id",
+        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+        "component_id",
+    )
+
+
+@query(
+    "op6_line_dedup",
+    """
+    WITH lines AS (
+        SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
+    ),
+    keyed AS (
+        SELECT *, translate(
+            trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+        FROM lines
+    ),
+    shared AS (
+        SELECT key, min(doc_id) AS first_doc FROM keyed WHERE length(key) >= 10
+        GROUP BY key HAVING min(doc_id) < max(doc_id)
+    )
+    SELECT k.doc_id, count(*) AS n_lines, count(s.key) AS n_dropped,
+        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (s.key IS NULL), ''))
+            AS kept_sha256
+    FROM keyed k LEFT JOIN shared s ON k.key = s.key AND k.doc_id > s.first_doc
+    GROUP BY k.doc_id
+    """,
+)
+def op6_line_dedup(spark: SparkSession, root: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, root, "documents"))
+    return kept.select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256")
+    )
