@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillscope.llm import line_dedup, quality_rules, simhash
+from tillscope.llm import bpe, line_dedup, packing, quality_rules, simhash
 from tillscope.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+def tokenizer_path(name: str) -> str:
+    """A public vocabulary file; installed with its package on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @query("op1_quality_rules")
 def op1_quality_rules(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents")
@@ -67,3 +74,14 @@ def op6_line_dedup(spark: SparkSession, root: str) -> DataFrame:
     return kept.select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256")
     )
+
+
+@query("op3_bpe")
+def op3_bpe(spark: SparkSession, root: str) -> DataFrame:
+    return bpe.transduce(table(spark, root, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+@query("op7_packing")
+def op7_packing(spark: SparkSession, root: str) -> DataFrame:
+    path = tokenizer_path("word_bpe_49k.json")
+    return packing.pack_documents(table(spark, root, "documents"), path)
