@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillscope.llm import bpe, line_dedup, packing, quality_rules, simhash
+from tillscope.llm import bpe, line_dedup, packing, quality_rules, simhash, topk, warc
 from tillscope.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -85,3 +85,54 @@ def op3_bpe(spark: SparkSession, root: str) -> DataFrame:
 def op7_packing(spark: SparkSession, root: str) -> DataFrame:
     path = tokenizer_path("word_bpe_49k.json")
     return packing.pack_documents(table(spark, root, "documents"), path)
+
+
+@query(
+    "op2_warc",
+    """
+    WITH marked AS (
+        SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+            sha256(coalesce(html, '')) AS payload_digest
+        FROM pages
+    ),
+    firsts AS (
+        SELECT *, CASE WHEN payload_bytes >= 100
+            THEN min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) END AS first_id
+        FROM marked
+    )
+    SELECT page_id, payload_bytes, payload_digest,
+        CASE WHEN first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN first_id < page_id THEN first_id END AS refers_to
+    FROM firsts
+    """,
+)
+def op2_warc(spark: SparkSession, root: str) -> DataFrame:
+    return warc.archive_pages(table(spark, root, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+@query(
+    "op5_topk",
+    """
+    WITH v AS (
+        SELECT vec_id,
+            list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS w
+        FROM embeddings
+        WHERE embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ),
+    scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id,
+            CAST(list_dot_product(q.w, c.w) AS BIGINT) AS score
+        FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+    ),
+    ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place
+        FROM scored
+    )
+    SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= 5
+    """,
+)
+def op5_topk(spark: SparkSession, root: str) -> DataFrame:
+    return topk.top_k(table(spark, root, "embeddings"))
