@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillscope.llm import bpe, line_dedup, packing, quality_rules, simhash, topk, warc
+from tillscope.llm import (
+    bpe,
+    line_dedup,
+    packing,
+    quality_rules,
+    simhash,
+    substring_dedup,
+    token_counts,
+    topk,
+    warc,
+)
 from tillscope.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -136,3 +146,14 @@ def op2_warc(spark: SparkSession, root: str) -> DataFrame:
 )
 def op5_topk(spark: SparkSession, root: str) -> DataFrame:
     return topk.top_k(table(spark, root, "embeddings"))
+
+
+@query("op9_substring_dedup")
+def op9_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return substring_dedup.removed_spans(table(spark, root, "documents"))
+
+
+@query("op10_token_counts")
+def op10_token_counts(spark: SparkSession, root: str) -> DataFrame:
+    path = tokenizer_path("word_bpe_49k.json")
+    return token_counts.count_tokens(table(spark, root, "documents"), path, separator=49407)
