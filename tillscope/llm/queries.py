@@ -14,6 +14,7 @@ from tillscope.llm import (
     substring_dedup,
     token_counts,
     topk,
+    toxicity,
     warc,
 )
 from tillscope.llm.registry import ORACLES, QUERIES, query, table
@@ -157,3 +158,9 @@ def op9_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, root: str) -> DataFrame:
     path = tokenizer_path("word_bpe_49k.json")
     return token_counts.count_tokens(table(spark, root, "documents"), path, separator=49407)
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, root, "labels")))

@@ -28,7 +28,7 @@ SEED = 42
 _HALF = BITS // 2
 
 
-def fingerprint(text: str | None, width: int) -> int:
+def fingerprint(text: str | None, width: int, seed: int = SEED) -> int:
     """SimHash of the word shingles of a text, as an unsigned integer.
 
     A-Z count as a-z; words are split at ASCII white space. Fewer than ``width``
@@ -46,7 +46,7 @@ def fingerprint(text: str | None, width: int) -> int:
         starts, ends = starts[:1], ends[-1:]
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter(
-        (digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist())),
+        (digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends.tolist())),
         np.uint64,
         len(starts),
     )
@@ -226,3 +226,141 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = rooted.join(named, "root").select("fp", "component_id")
     return marked.join(labels, "fp").select("doc_id", "fp", "component_id")
+
+
+def shingles(text: str | None, width: int) -> set[bytes]:
+    """The distinct word shingles of a text; fewer words form one shingle."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(words) <= width:
+        return {b" ".join(words)} if words else set()
+    return {b" ".join(words[n : n + width]) for n in range(len(words) - width + 1)}
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The ``pairs(a, b)`` of text marks whose shingle sets have that Jaccard similarity."""
+    wanted = pairs.select(F.col("a").alias("_m")).unionByName(
+        pairs.select(F.col("b").alias("_m"))
+    ).distinct()
+    texts = materialise(
+        docs.join(wanted, F.col("mark") == F.col("_m"), "left_semi")
+        .groupBy("mark")
+        .agg(F.first("text").alias("text"))
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for left, right in zip(batch.column("text_a"), batch.column("text_b")):
+                x, y = shingles(left.as_py(), width), shingles(right.as_py(), width)
+                both = len(x & y)
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return (
+        pairs.join(texts.select(F.col("mark").alias("a"), F.col("text").alias("text_a")), "a")
+        .join(texts.select(F.col("mark").alias("b"), F.col("text").alias("text_b")), "b")
+        .select("a", "b", "text_a", "text_b")
+        .mapInArrow(run, "a long, b long")
+    )
+
+
+def keep_representatives(
+    docs: DataFrame,
+    width: int = 5,
+    similarity: float = 0.8,
+    seeds: tuple[int, ...] = (SEED, SEED + 1),
+) -> DataFrame:
+    """``docs`` with one document of each group of near copies; all columns stay.
+
+    Near copies share ``similarity`` of their distinct ``width``-word shingles.
+    Candidates are texts whose fingerprints over single words link: an edited word
+    moves these far less than fingerprints over shingles. Each seed gives an
+    independent fingerprint and a round; the second round looks again at one text
+    of each group. Every candidate pair is verified on whole texts; groups are the
+    components of what holds. Equal texts form one class before that.
+
+    The document with the smallest id stays, rows without an id behind all others;
+    of repeated rows one stays. Null and empty texts are equal to each other. An
+    empty table gives no rows.
+    """
+    ship_package(docs.sparkSession)
+    names = [f"fp{n}" for n in range(len(seeds))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text")
+            columns = [
+                np.fromiter(
+                    (fingerprint(t.as_py(), 1, seed) for t in texts), np.uint64, batch.num_rows
+                ).view(np.int64)
+                for seed in seeds
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc"), batch.column("mark"), *map(pa.array, columns)],
+                ["doc", "mark", *names],
+            )
+
+    def keyed(df: DataFrame) -> DataFrame:
+        text = F.coalesce(F.col("text"), F.lit(""))
+        rank = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+        return df.withColumns({"doc": rank, "mark": F.xxhash64(text)})
+
+    whole = keyed(docs.select("doc_id", "text")).select("doc", "mark", "text")
+    marked = materialise(
+        whole.mapInArrow(
+            run, ", ".join(["doc long, mark long", *(f"{name} long" for name in names)])
+        )
+    )
+    classes = materialise(
+        marked.groupBy("mark").agg(
+            F.min("doc").alias("least"), *[F.min(name).alias(name) for name in names]
+        )
+    )
+    alive, edges = classes, None
+    for name in names:
+        heads = materialise(alive.groupBy(F.col(name).alias("fp")).agg(F.min("mark").alias("head")))
+        source = heads.select(F.col("fp").alias("src"), F.col("head").alias("a"))
+        target = heads.select(F.col("fp").alias("dst"), F.col("head").alias("b"))
+        across = (
+            links(heads.select("fp")).distinct().join(source, "src").join(target, "dst")
+        ).select("a", "b")
+        within = (
+            alive.join(heads, F.col(name) == F.col("fp"))
+            .where("mark <> head")
+            .select(F.col("mark").alias("a"), F.col("head").alias("b"))
+        )
+        pairs = materialise(across.unionByName(within))
+        found = materialise(
+            _similar(pairs, whole, width, similarity).select(
+                F.col("a").alias("src"), F.col("b").alias("dst")
+            )
+        )
+        edges = found if edges is None else edges.unionByName(found)
+        roots = materialise(connected_components(edges))
+        # Of each group, the next round sees the root alone.
+        alive = classes.join(
+            roots.where("node <> root"), F.col("mark") == F.col("node"), "left_anti"
+        )
+    grouped = classes.join(roots, F.col("mark") == F.col("node"), "left").select(
+        "mark", "least", F.coalesce("root", "mark").alias("root")
+    )
+    least = grouped.groupBy("root").agg(F.min(F.struct("least", "mark")).alias("stays"))
+    stays = least.select(F.col("stays.least").alias("doc"), F.col("stays.mark").alias("mark"))
+    rows = marked.groupBy("doc", "mark").agg(F.count(F.lit(1)).alias("n"))
+    leaving = materialise(
+        rows.join(stays, ["doc", "mark"], "left_anti").select(
+            F.col("doc").alias("_doc"), F.col("mark").alias("_mark")
+        )
+    )
+    same = (F.col("doc") == F.col("_doc")) & (F.col("mark") == F.col("_mark"))
+    kept = keyed(docs.withColumnsRenamed({"doc": "_own_doc", "mark": "_own_mark"})).join(
+        leaving, same, "left_anti"
+    )
+    twice = materialise(
+        rows.where("n > 1").select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"))
+    )
+    if not twice.isEmpty():
+        kept = kept.join(twice, same, "left_anti").unionByName(
+            kept.join(twice, same, "left_semi").dropDuplicates(["doc", "mark"])
+        )
+    return kept.drop("doc", "mark").withColumnsRenamed({"_own_doc": "doc", "_own_mark": "mark"})
