@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillscope.llm.columns import carried, restored
 from tillscope.llm.quality_rules import WHITE_SPACE, fenced
 from tillscope.session import materialise
 
@@ -132,7 +133,8 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     own = bitmaps.select(
         F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), "n_dropped", "dropped"
     )
-    joined = docs.drop("n_dropped", "dropped").join(
+    used = ["doc_id", "text"]
+    joined = carried(docs, used).join(
         own,
         (_rank(F.col("doc_id")) == F.col("_doc")) & (_text_mark(F.col("text")) == F.col("_mark")),
         "left",
@@ -147,19 +149,20 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
         "_lines",
         lambda _, i: F.getbit(F.get("_bits", (i / 64).cast("int")), i % 64) == 0,
     )
-    return (
-        joined.withColumn("_lines", fenced(lines))
-        .withColumn("_bits", fenced(F.when(F.col("dropped").isNotNull(), dense)))
-        .withColumns(
-            {
-                "n_lines": F.size("_lines").cast("long"),
-                "n_dropped": F.coalesce("n_dropped", F.lit(0).cast("long")),
-                "kept_text": F.when(
-                    F.col("_bits").isNull(), F.coalesce("text", F.lit(""))
-                ).otherwise(F.array_join(kept, "\n")),
-            }
-        )
-        .drop("_doc", "_mark", "_lines", "_bits", "dropped")
+    staged = joined.withColumn("_lines", fenced(lines)).withColumn(
+        "_bits", fenced(F.when(F.col("dropped").isNotNull(), dense))
+    )
+    return restored(
+        staged,
+        docs.columns,
+        used,
+        {
+            "n_lines": F.size("_lines").cast("long"),
+            "n_dropped": F.coalesce("n_dropped", F.lit(0).cast("long")),
+            "kept_text": F.when(F.col("_bits").isNull(), F.coalesce("text", F.lit(""))).otherwise(
+                F.array_join(kept, "\n")
+            ),
+        },
     )
 
 
@@ -171,5 +174,4 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     an id are one document behind all others. An empty table gives no rows;
     existing columns ``n_lines``, ``n_dropped`` and ``kept_text`` are replaced.
     """
-    plain = docs.drop("n_lines", "n_dropped", "kept_text")
-    return apply_bitmaps(plain, keep_bitmaps(plain))
+    return apply_bitmaps(docs, keep_bitmaps(docs))

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillscope.llm.columns import carried, restored
 from tillscope.session import materialise
 
 # ASCII white space and the symbols that count as symbols.
@@ -125,8 +126,9 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``
     (long), ``base_failed``, and the columns of ``FEATURES``. A null or empty text
     has no words: all counts are 0 and the base test fails. Existing columns of
-    these names are replaced.
+    these names are replaced, all others stay.
     """
+    plain, docs = docs, carried(docs, [text])
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(
         F.split(whole, "\n"), lambda line: F.btrim(line, F.lit(WHITE_SPACE)) != ""
@@ -159,16 +161,21 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     def share(part: str, whole: str) -> Column:
         return F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(F.lit(0.0))
 
-    return staged.withColumns(
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return restored(
+        staged,
+        plain.columns,
+        [text],
         {
+            **{name: F.col(name) for name in counts},
             "base_failed": (F.col("n_words") < MIN_WORDS)
             | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
             "mean_word_chars": share("word_chars", "n_words"),
             "symbols_per_word": share("n_symbols", "n_words"),
             "dup_line_share": share("n_dup_lines", "_n_lines"),
             "repeat_word_share": share("n_repeat_words", "n_words"),
-        }
-    ).drop("_n_lines")
+        },
+    )
 
 
 @dataclass(frozen=True)

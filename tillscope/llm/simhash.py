@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillscope.llm.columns import carried, restored
 from tillscope.llm.components import connected_components
 from tillscope.session import materialise, ship_package
 
@@ -353,9 +354,8 @@ def keep_representatives(
         )
     )
     same = (F.col("doc") == F.col("_doc")) & (F.col("mark") == F.col("_mark"))
-    kept = keyed(docs.withColumnsRenamed({"doc": "_own_doc", "mark": "_own_mark"})).join(
-        leaving, same, "left_anti"
-    )
+    used = ["doc_id", "text"]
+    kept = keyed(carried(docs, used)).join(leaving, same, "left_anti")
     twice = materialise(
         rows.where("n > 1").select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"))
     )
@@ -363,4 +363,4 @@ def keep_representatives(
         kept = kept.join(twice, same, "left_anti").unionByName(
             kept.join(twice, same, "left_semi").dropDuplicates(["doc", "mark"])
         )
-    return kept.drop("doc", "mark").withColumnsRenamed({"_own_doc": "doc", "_own_mark": "mark"})
+    return restored(kept, docs.columns, used, {})

@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillscope.llm.columns import carried, restored
 from tillscope.session import ship_package
 
 # Words in a unit: long enough that only copied text repeats one, and half of the
@@ -159,7 +160,8 @@ def remove_spans(docs: DataFrame, size: int = UNIT_WORDS) -> DataFrame:
     spans = repeated_spans(docs, size).select(
         F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), "spans"
     )
-    joined = docs.join(
+    used = ["doc_id", "text"]
+    joined = carried(docs, used).join(
         spans,
         (_rank(F.col("doc_id")) == F.col("_doc")) & (_mark(F.col("text")) == F.col("_mark")),
         "left",
@@ -174,6 +176,7 @@ def remove_spans(docs: DataFrame, size: int = UNIT_WORDS) -> DataFrame:
             F.coalesce(F.get("spans", n)["start"], F.length("text")) - start,
         ),
     )
-    return joined.withColumn(
-        "text", F.when(F.col("spans").isNotNull(), F.array_join(parts, "")).otherwise(F.col("text"))
-    ).select(*docs.columns)
+    cut = F.when(F.col("spans").isNotNull(), F.array_join(parts, "")).otherwise(F.col("text"))
+    return restored(joined, docs.columns, used, {"text": cut}).select(
+        *[F.col(f"`{c}`") for c in docs.columns]
+    )
