@@ -87,10 +87,7 @@ def test_pruning_drops_supersets(spark):
     assert _labels(kept) == ["{a} => {b}", "{d} => {e}"]
 
 
-@pytest.mark.parametrize("limit", [12, 2])
-def test_pruning_equals_brute_force(spark, monkeypatch, limit):
-    """Also with short itemsets sent down the path for long ones."""
-    monkeypatch.setattr(rules, "_ENUMERATE_UP_TO", limit)
+def test_pruning_equals_brute_force(spark):
     rng = random.Random(5)
     sides = set()
     while len(sides) < 60:

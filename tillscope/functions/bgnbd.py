@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tillscope.functions.special import hyp2f1, log_add, log_rising
 
 PARAMETERS = ("r", "alpha", "a", "b")
+_NEAR = 1e-6
 
 
 def log_likelihood(params: Mapping[str, Column], x: Column, t_x: Column, t_cal: Column) -> Column:
@@ -32,16 +33,23 @@ def log_likelihood(params: Mapping[str, Column], x: Column, t_x: Column, t_cal:
 def expected_purchases(
     params: Mapping[str, Column], x: Column, t_x: Column, t_cal: Column, horizon: Column
 ) -> Column:
-    """Purchases expected in the next ``horizon`` weeks given the history (a != 1)."""
+    """Purchases expected in the next ``horizon`` weeks given the history.
+
+    The formula has finite limits at a = 1 and at a + b + x = 1; within 1e-6 of
+    them it is taken 1e-6 away, which changes it by about as much.
+    """
     r, alpha, a, b = (params[name] for name in PARAMETERS)
+    a = F.when(F.abs(a - 1) < _NEAR, 1 + _NEAR).otherwise(a)
     end = alpha + t_cal + horizon
-    series = hyp2f1(r + x, b + x, a + b + x - 1, horizon / end)
+    third = a + b + x - 1
+    third = F.when(F.abs(third) < _NEAR, _NEAR).otherwise(third)
+    series = hyp2f1(r + x, b + x, third, horizon / end)
     no_more = F.exp((r + x) * F.log((alpha + t_cal) / end)) * series
     gone = F.when(
         x > 0,
         a / (b + x - 1) * F.exp((r + x) * F.log((alpha + t_cal) / (alpha + t_x))),
     ).otherwise(0.0)
-    return (a + b + x - 1) / (a - 1) * (1 - no_more) / (1 + gone)
+    return third / (a - 1) * (1 - no_more) / (1 + gone)
 
 
 def pmf(params: Mapping[str, Column], k: int, t_cal: Column) -> Column:

@@ -28,6 +28,10 @@ def log_likelihood(params: Mapping[str, Column], m_x: Column, x: Column) -> Colu
 
 
 def expected_spend(params: Mapping[str, Column], m_x: Column, x: Column) -> Column:
-    """Expected spend per purchase; for x = 0 this is the population mean."""
+    """Expected spend per purchase; for x = 0 this is the population mean.
+
+    Null where the mean does not exist (p x + q <= 1).
+    """
     p, q, gamma = (params[name] for name in PARAMETERS)
-    return p * (gamma + m_x * x) / (p * x + q - 1)
+    shape = p * x + q - 1
+    return F.when(shape > 0, F.try_divide(p * (gamma + m_x * x), shape))

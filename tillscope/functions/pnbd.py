@@ -59,10 +59,14 @@ def p_alive(params: Mapping[str, Column], x: Column, t_x: Column, t_cal: Column)
 def expected_purchases(
     params: Mapping[str, Column], x: Column, t_x: Column, t_cal: Column, horizon: Column
 ) -> Column:
-    """Purchases expected in the next ``horizon`` weeks given the history (s != 1)."""
+    """Purchases expected in the next ``horizon`` weeks given the history."""
     r, alpha, s, beta = (params[name] for name in PARAMETERS)
-    rate = (r + x) * (beta + t_cal) / ((alpha + t_cal) * (s - 1))
-    fade = 1 - F.pow((beta + t_cal) / (beta + t_cal + horizon), s - 1)
+    rate = (r + x) * (beta + t_cal) / (alpha + t_cal)
+    shrink = F.log((beta + t_cal) / (beta + t_cal + horizon))
+    # (1 - exp((s - 1) shrink)) / (s - 1), and its limit at s = 1.
+    fade = F.when(F.abs(s - 1) < 1e-9, -shrink).otherwise(
+        F.try_divide(-F.expm1((s - 1) * shrink), s - 1)
+    )
     return p_alive(params, x, t_x, t_cal) * rate * fade
 
 

@@ -52,6 +52,14 @@ def log_add(u: Column, v: Column) -> Column:
     return F.coalesce(both, u, v)
 
 
+# Beyond this many terms a row has not converged, which raises.
+_MOST_TERMS = 200_000
+
+
+def _unsettled(name: str, z: np.ndarray) -> ArithmeticError:
+    return ArithmeticError(f"{name} has not converged after {_MOST_TERMS} terms at z = {z[0]!r}")
+
+
 def _series(a: np.ndarray, b: np.ndarray, c: np.ndarray, z: np.ndarray) -> np.ndarray:
     """Sum the power series until every row's term has vanished."""
     total = np.ones_like(z)
@@ -66,6 +74,8 @@ def _series(a: np.ndarray, b: np.ndarray, c: np.ndarray, z: np.ndarray) -> np.nd
         going = np.abs(term) > 1e-16 * (1.0 - np.abs(z[rows])) * np.abs(total[rows])
         going |= n < -np.minimum(a[rows], b[rows])
         rows, term = rows[going], term[going]
+        if n > _MOST_TERMS and rows.size:
+            raise _unsettled("hypergeometric series", z[rows])
     return total
 
 
@@ -95,6 +105,8 @@ def _fraction(b: np.ndarray, c: np.ndarray, z: np.ndarray) -> np.ndarray:
         going = np.abs(change - 1.0) > 3e-16  # one unit in the last place either way
         rows, up, down = rows[going], up[going], down[going]
         n += 1
+        if n > _MOST_TERMS and rows.size:
+            raise _unsettled("continued fraction", z[rows])
     return 1.0 / value
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.operators.ordering import row_index
-from tillscope.session import broadcast_if_small, materialise
+from tillscope.session import materialise
 from tillscope.sources.order_lines import VALUE
 
 GROUP = "product_group_level_1"
@@ -17,8 +17,10 @@ CATEGORY = "product_category_level_2"
 # Fixed value: the one misspelt group label and its right form.
 LABEL_FIXES = {"Bed linen": "Bed Linen"}
 
-# Fixed value: the day-month-year text format (single digits are accepted).
+# The day-month-year text format (single digits are accepted), and
+# the separators that stand for its dot.
 DATE_FORMAT = "d.M.yyyy"
+DATE_SEPARATORS = "-/"
 
 
 def drop_incomplete(df: DataFrame) -> DataFrame:
@@ -44,8 +46,12 @@ def fix_labels_from(df: DataFrame, column: str, fixes: DataFrame) -> DataFrame:
 
 
 def parse_date(column: str | Column, fmt: str = DATE_FORMAT) -> Column:
-    """Text to date; text that does not parse becomes null."""
-    return F.try_to_date(column, fmt)
+    """Text to date; text that does not parse becomes null.
+
+    Separators may be dots, hyphens or slashes.
+    """
+    dotted = F.translate(column, DATE_SEPARATORS, "." * len(DATE_SEPARATORS))
+    return F.try_to_date(dotted, fmt)
 
 
 def to_number(column: str | Column) -> Column:
@@ -77,7 +83,6 @@ def factor_codes(df: DataFrame, columns: Iterable[str]) -> DataFrame:
         own = codes.where(F.col("_variable") == column).select(
             "_label", F.col("_code").alias(f"{column}_code")
         )
-        own = broadcast_if_small(own)
         df = df.join(own, df[column] == own["_label"], "left").drop("_label")
     return df
 

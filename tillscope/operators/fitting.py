@@ -136,7 +136,10 @@ def fit(
     a round gains less than ``tolerance`` relatively, or after ``rounds`` rounds. A
     parameter that ends on the edge of the box is not identified by the data.
 
-    Returns one row: the parameters, ``log_likelihood`` and ``at_edge``.
+    Returns one row: the parameters, ``log_likelihood``, ``at_edge``, ``converged``
+    and ``rounds_used``. It has converged if a round gained less than the tolerance,
+    or if no better point was found within 1e-6 of the best; running out of rounds
+    is no convergence.
     """
     names = list(start)
     size = len(names)
@@ -158,7 +161,8 @@ def fit(
     center = np.clip(np.log([start[name] for name in names]), low, high)
     best, best_value = center, -math.inf
     base, base_values, move = center, None, None
-    for _ in range(rounds):
+    converged, used = False, 0
+    for used in range(1, rounds + 1):
         points = _stencil(center, step)
         measured = len(points)
         if move is not None:
@@ -171,6 +175,7 @@ def fit(
             best, best_value = points[top], float(values[top])
             radius = min(radius * 1.5, 3.0)
             if gained < tolerance * abs(best_value):
+                converged = True
                 break
             if top >= measured:
                 center, move = best, None
@@ -179,6 +184,7 @@ def fit(
         else:
             radius /= 4
             if radius < 1e-6 or base_values is None:
+                converged = base_values is not None
                 break
         move = _quadratic_move(
             base_values, step, radius, base <= low + _NEAR, base >= high - _NEAR
@@ -189,15 +195,25 @@ def fit(
         else:
             center = _inside(base, move, low, high)
     edge = bool(np.any((best <= low + _NEAR) | (best >= high - _NEAR)))
-    row = (*[float(math.exp(v)) for v in best], best_value, edge)
+    row = (*[float(math.exp(v)) for v in best], best_value, edge, converged, used)
     schema = ", ".join([*[f"{name} double" for name in names], "log_likelihood double"])
-    return data.sparkSession.createDataFrame([row], f"{schema}, at_edge boolean")
+    return data.sparkSession.createDataFrame(
+        [row], f"{schema}, at_edge boolean, converged boolean, rounds_used int"
+    )
+
+
+_REPORTED = ("log_likelihood", "at_edge", "converged", "rounds_used")
 
 
-def parameters(fitted: DataFrame) -> dict[str, float]:
-    """The parameters of a one-row fit as plain numbers."""
-    row = fitted.drop("log_likelihood", "at_edge").first()
-    return {k: float(v) for k, v in row.asDict().items()}
+def parameters(fitted: DataFrame, allow_unfinished: bool = False) -> dict[str, float]:
+    """The parameters of a one-row fit as plain numbers.
+
+    Raises if the fit has not converged, unless ``allow_unfinished``.
+    """
+    row = fitted.first().asDict()
+    if not row["converged"] and not allow_unfinished:
+        raise ArithmeticError(f"the fit has not converged after {row['rounds_used']} rounds")
+    return {k: float(v) for k, v in row.items() if k not in _REPORTED}
 
 
 def _spread(data: DataFrame) -> DataFrame:

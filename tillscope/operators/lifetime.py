@@ -254,7 +254,7 @@ def spend_distribution(
 def spend_by_repeats(history: DataFrame, cap: int = CENSOR) -> DataFrame:
     """Five-number summary of mean sale by capped repeat count."""
     capped = repeat_buyers(history).withColumn("repeats", F.least("x", F.lit(cap)))
-    summary = exact_quantiles(capped, ["m_x"], [0.0, 0.25, 0.5, 0.75, 1.0], by=["repeats"])
+    summary = exact_quantiles(capped, ["m_x"], [0.0, 0.25, 0.5, 0.75, 1.0], by=["repeats"], few_groups=True)
     return quantile_columns(summary, ["min", "q1", "median", "q3", "max"]).drop("variable")
 
 
@@ -295,7 +295,8 @@ def score(
 ) -> DataFrame:
     """Predicted and real value per customer.
 
-    Missing values count as 0. Predictions cover ``horizon_weeks``, the real value
+    Missing hold-out values count as 0; a prediction that the parameters do not
+    define stays null. Predictions cover ``horizon_weeks``, the real value
     only the hold-out period, which may be shorter; pass its length to compare
     like with like.
     """
@@ -307,7 +308,7 @@ def score(
     ).transform(predict_spend, spend_params)
     filled = predicted.select(
         "cust", "spend", "yearpred_pareto", "yearpred_bg", "holdout_mean", "holdout_count"
-    ).fillna(0)
+    ).fillna(0, ["holdout_mean", "holdout_count"])
     return filled.select(
         "cust",
         "spend",

@@ -66,7 +66,7 @@ def rule_report(rules: DataFrame, margins: DataFrame) -> DataFrame:
             F.round("support", 6).alias("Support"),
             F.round("confidence", 3).alias("Confidence"),
             F.round("lift", 2).alias("Lift"),
-            F.round("total_margin", 4).alias("Total_Margin"),
+            F.round(F.round("total_margin", 10), 4).alias("Total_Margin"),
         )
     )
 

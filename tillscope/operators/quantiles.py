@@ -17,7 +17,7 @@ def exact_quantiles(
     values: Sequence[str],
     probabilities: Sequence[float],
     by: Sequence[str] = (),
-    few_groups: bool = True,
+    few_groups: bool = False,
 ) -> DataFrame:
     """Quantiles with linear interpolation, as rows ``(*by, variable, n, quantiles)``.
 

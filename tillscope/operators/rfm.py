@@ -131,7 +131,7 @@ def segment_summary(segmented: DataFrame) -> DataFrame:
 def segment_medians(segmented: DataFrame) -> DataFrame:
     """Median of every measure per segment."""
     long = quantile_columns(
-        exact_quantiles(segmented, MEASURES, [0.5], by=["segment"]), ["median"]
+        exact_quantiles(segmented, MEASURES, [0.5], by=["segment"], few_groups=True), ["median"]
     )
     return long.groupBy("segment").agg(
         *[

@@ -8,7 +8,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillscope.operators.baskets import baskets_of
+from tillscope.operators.baskets import frequent_baskets
 from tillscope.session import materialise
 
 # Default thresholds of the rule search.
@@ -16,11 +16,6 @@ MIN_SUPPORT = 0.0005
 MIN_CONFIDENCE = 0.4
 MAX_LENGTH = 10
 
-# Up to this length, subsets are enumerated (4,095 of them); beyond it they are
-# found through a shared item.
-_ENUMERATE_UP_TO = 12
-
-
 @dataclass(frozen=True)
 class Itemsets:
     """Frequent itemsets ``(items, count)`` and the number of baskets."""
@@ -35,11 +30,12 @@ def mine_itemsets(
 ) -> Itemsets:
     """Itemsets in at least ``ceil(min_support * baskets)`` baskets.
 
-    Runs FP-growth, which drops infrequent items before it passes baskets on.
-    Baskets and itemsets are materialised, since the miner and the rules read them
-    several times.
+    Runs FP-growth over baskets reduced to frequent items; emptied baskets still
+    count. Baskets and itemsets are materialised, since the miner and the rules
+    read them several times. The miner has no length limit of its own: longer
+    itemsets are found first and dropped then.
     """
-    baskets = materialise(baskets_of(pairs).select("items"))
+    baskets = materialise(frequent_baskets(pairs, min_support).select("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support).fit(baskets)
     found = model.freqItemsets.where(F.size("items") <= max_length)
     table = materialise(
@@ -113,35 +109,15 @@ def items_in_rules(rules: DataFrame) -> DataFrame:
     return rules.select(F.explode(rule_items()).alias("item")).distinct()
 
 
-def _subsets(items: Column) -> Column:
-    """All subsets with two or more items, order kept."""
-    masks = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size(items)) - 1)
-    picked = F.transform(
-        masks,
-        lambda mask: F.filter(
-            items,
-            lambda _, i: F.call_function("shiftright", mask, i).bitwiseAND(F.lit(1)) == 1,
-        ),
-    )
-    return F.filter(picked, lambda subset: F.size(subset) >= 2)
-
-
 def contained_itemsets(rules: DataFrame) -> DataFrame:
     """Pairs ``(items, inner, inner_rules)``: ``inner`` is a subset of ``items``.
 
     Both are itemsets of rules; an itemset contains itself. ``inner_rules`` counts
-    the rules that share the inner itemset. Subsets of a short itemset are listed
-    and looked up by equality, so a popular item costs nothing extra. A long
-    itemset is compared with those inner sets whose rarest item it holds.
+    the rules that share the inner itemset. An itemset is compared with those
+    inner sets whose rarest item it holds, so a popular item makes few pairs.
     """
     sets = rules.groupBy(rule_items().alias("items")).agg(F.count(F.lit(1)).alias("inner_rules"))
     inner = sets.select(F.col("items").alias("inner"), "inner_rules")
-
-    short = sets.where(F.size("items") <= _ENUMERATE_UP_TO)
-    listed = short.select("items", F.explode(_subsets(F.col("items"))).alias("inner")).join(
-        inner, "inner"
-    )
-
     frequency = (
         sets.select(F.explode("items").alias("item"))
         .groupBy("item")
@@ -153,14 +129,12 @@ def contained_itemsets(rules: DataFrame) -> DataFrame:
         .groupBy("inner", "inner_rules")
         .agg(F.min_by("item", F.struct("n", "item")).alias("item"))
     )
-    long = sets.where(F.size("items") > _ENUMERATE_UP_TO)
-    anchored_pairs = (
-        long.select("items", F.explode("items").alias("item"))
+    return (
+        sets.select("items", F.explode("items").alias("item"))
         .join(anchored, "item")
         .where(F.size(F.array_except("inner", "items")) == 0)
+        .select("items", "inner", "inner_rules")
     )
-    columns = ["items", "inner", "inner_rules"]
-    return listed.select(columns).unionByName(anchored_pairs.select(columns))
 
 
 def contained_rules(rules: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from tillscope.operators import clustering
 from tillscope.plans.registry import query, rounded
 from tillscope.plans.views import ANALYSIS_DATE, quantile, sql
 from tillscope.session import materialise
-from tillscope.sources.order_lines import VALUE, order_lines
+from tillscope.plans.test_tables import order_lines
+from tillscope.sources.order_lines import VALUE
 
 _FEATURES = clustering.FEATURES
 _SEEDS = (0.125, 0.375, 0.625, 0.875)
@@ -143,13 +144,18 @@ def _anova_sql() -> str:
             f"(SELECT cluster, {f} AS v, avg({f}) OVER (PARTITION BY cluster) AS g, "
             f"avg({f}) OVER () AS a FROM labelled)"
         )
-    digits = "round({0} / pow(10, floor(log10({0}))), 8)"
+    digits = "round({0} / pow(10, floor(log10({0}))), 8) * pow(10, floor(log10({0})))"
+    named = {
+        "ss_between": "ss_between",
+        "ss_within": "ss_within",
+        "ms_between": "(ss_between / df_between)",
+        "ms_within": "(ss_within / df_within)",
+        "f_value": "((ss_between / df_between) / (ss_within / df_within))",
+    }
     return (
         "SELECT variable, df_between, df_within, "
-        + ", ".join(
-            f"{digits.format(name)} AS {name}" for name in ("ss_between", "ss_within")
-        )
-        + ", round((ss_between / df_between) / (ss_within / df_within), 6) AS f_value FROM ("
+        + ", ".join(f"{digits.format(value)} AS {name}" for name, value in named.items())
+        + " FROM ("
         + " UNION ALL ".join(parts)
         + ")"
     )
@@ -157,15 +163,16 @@ def _anova_sql() -> str:
 
 @query("clu_anova", sql("customers", _anova_sql(), **_LLOYD))
 def clu_anova(spark, root):
-    """Sums of squares are compared by their leading digits."""
+    """The whole table, to nine significant digits."""
     table = clustering.anova(_lloyd(spark, root))
-    leading = {
-        name: F.col(name) / F.pow(F.lit(10.0), F.floor(F.log10(name)))
-        for name in ("ss_between", "ss_within")
-    }
-    columns = ["variable", "df_between", "df_within", "ss_between", "ss_within", "f_value"]
-    return rounded(
-        table.withColumns(leading).select(columns), ss_between=8, ss_within=8, f_value=6
+
+    def digits(name):
+        size = F.pow(F.lit(10.0), F.floor(F.log10(name)))
+        return F.round(F.col(name) / size, 8) * size
+
+    measures = ["ss_between", "ss_within", "ms_between", "ms_within", "f_value"]
+    return table.select(
+        "variable", "df_between", "df_within", *[digits(m).alias(m) for m in measures]
     )
 
 

@@ -10,7 +10,8 @@ from tillscope.plans import pipelines
 from tillscope.plans.registry import query, rounded
 from tillscope.plans.views import CUTOFF, MAX_DAYS, quantile, sql
 from tillscope.session import materialise
-from tillscope.sources.order_lines import VALUE, order_lines
+from tillscope.plans.test_tables import order_lines
+from tillscope.sources.order_lines import VALUE
 
 # Given parameters, so that SQL can check every formula without a fit.
 BG = {"r": 2.5, "alpha": 60.0, "a": 0.6, "b": 9.0}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tillscope.operators import baskets, lifetime, margins, rfm, rules
 from tillscope.operators.fitting import fit_bgnbd, fit_pnbd, fit_spend, parameters
@@ -39,16 +40,26 @@ def fitted_lifetime_values(
     cutoff: str,
     max_transactions: int = lifetime.MAX_TRANSACTIONS,
     horizon_weeks: float = lifetime.HORIZON_WEEKS,
+    allow_unfinished: bool = False,
 ) -> DataFrame:
-    """The same with parameters fitted to the calibration period."""
+    """The same with parameters fitted to the calibration period.
+
+    ``fits_converged`` and ``fits_at_edge`` tell whether all three fits converged
+    and whether one ended where the data do not identify a parameter. A fit that
+    has not converged raises unless ``allow_unfinished``.
+    """
     log = lifetime.event_log(lines, cutoff, max_transactions)
     history = materialise(lifetime.purchase_history(log, cutoff))
-    return lifetime.score(
-        history,
-        parameters(fit_bgnbd(history)),
-        parameters(fit_pnbd(history)),
-        parameters(fit_spend(history)),
-        horizon_weeks,
+    fits = [fit_bgnbd(history), fit_pnbd(history), fit_spend(history)]
+    states = [fitted.select("converged", "at_edge").first() for fitted in fits]
+    scored = lifetime.score(
+        history, *[parameters(fitted, allow_unfinished) for fitted in fits], horizon_weeks
+    )
+    return scored.withColumns(
+        {
+            "fits_converged": F.lit(all(s["converged"] for s in states)),
+            "fits_at_edge": F.lit(any(s["at_edge"] for s in states)),
+        }
     )
 
 
@@ -62,5 +73,6 @@ def priced_rules(
 ) -> DataFrame:
     """Mine, prune and price rules: the rule report."""
     itemsets = rules.mine_itemsets(baskets.order_items(lines, item), min_support, max_length)
-    kept = rules.prune_subsumed(rules.association_rules(itemsets, min_confidence))
-    return margins.rule_report(kept, item_margins)
+    # Rules are read several times by the pruning and by the report.
+    found = materialise(rules.association_rules(itemsets, min_confidence))
+    return margins.rule_report(materialise(rules.prune_subsumed(found)), item_margins)

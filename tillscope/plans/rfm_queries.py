@@ -6,7 +6,8 @@ from tillscope.operators import rfm
 from tillscope.plans.pipelines import segment_customers
 from tillscope.plans.registry import query, rounded
 from tillscope.plans.views import ANALYSIS_DATE, quantile, sql
-from tillscope.sources.order_lines import VALUE, order_lines
+from tillscope.plans.test_tables import order_lines
+from tillscope.sources.order_lines import VALUE
 
 _SCORES = {"recency_days": "r", "transaction_count": "f", "amount": "m"}
 

@@ -10,7 +10,8 @@ from tillscope.plans.registry import query, rounded
 from tillscope.plans.views import ANALYSIS_DATE, CUTOFF, ITEM_SUPPORT, MAX_DAYS, sql
 from tillscope.session import materialise, scratch_path
 from tillscope.sources.basket_text import read_basket_text, write_basket_text
-from tillscope.sources.order_lines import COLUMNS, VALUE, order_lines, raw_order_lines, table
+from tillscope.plans.test_tables import order_lines, raw_order_lines
+from tillscope.sources.order_lines import COLUMNS, VALUE, table
 
 # The label fixes of the dirty view: lower-case group labels and their right form.
 GROUP_FIXES = {
@@ -209,7 +210,7 @@ def cast_factor(spark, root):
 @query(
     "date_parse",
     sql("orderlines_raw", "SELECT order_id, product_id, date AS text, "
-        "CAST(CAST(try_strptime(date, '%d.%m.%Y') AS DATE) AS VARCHAR) AS date FROM orderlines_raw"),
+        "CAST(CAST(try_strptime(translate(date, '-/', '..'), '%d.%m.%Y') AS DATE) AS VARCHAR) AS date FROM orderlines_raw"),
 )
 def date_parse(spark, root):
     raw = raw_order_lines(spark, root, ["order_id", "product_id", "date"])
@@ -367,7 +368,7 @@ def filter_repeat_buyers(spark, root):
 
 @query(
     "clean_pipeline",
-    sql("complete", "SELECT CAST(CAST(strptime(date, '%d.%m.%Y') AS DATE) AS VARCHAR) AS date, "
+    sql("complete", "SELECT CAST(CAST(strptime(translate(date, '-/', '..'), '%d.%m.%Y') AS DATE) AS VARCHAR) AS date, "
         "order_id, customer_id, product_id, product_title, customer_zip_code, "
         "upper(product_group_level_1) AS product_group_level_1, product_category_level_2, "
         f"round({VALUE}, 4) AS {VALUE} FROM complete WHERE {VALUE} > 0"),
@@ -379,7 +380,7 @@ def clean_pipeline(spark, root):
 
 @query(
     "clean_pipeline_basket",
-    sql("complete", "SELECT CAST(CAST(strptime(date, '%d.%m.%Y') AS DATE) AS VARCHAR) AS date, "
+    sql("complete", "SELECT CAST(CAST(strptime(translate(date, '-/', '..'), '%d.%m.%Y') AS DATE) AS VARCHAR) AS date, "
         "order_id, customer_id, product_id, product_title, customer_zip_code, "
         "upper(product_group_level_1) AS product_group_level_1, product_category_level_2, "
         f"round({VALUE}, 4) AS {VALUE}, round({VALUE}, 4) AS price, product_title AS product, "

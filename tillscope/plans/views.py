@@ -29,7 +29,9 @@ BLOCKS = {
         JOIN customer c ON c.c_custkey = o.o_custkey
         JOIN part p ON p.p_partkey = l.l_partkey""",
     "orderlines_raw": """
-        SELECT strftime(o.o_orderdate, '%d.%m.%Y') AS date,
+        SELECT CASE l.l_orderkey % 3 WHEN 0 THEN strftime(o.o_orderdate, '%d.%m.%Y')
+                    WHEN 1 THEN strftime(o.o_orderdate, '%d-%m-%Y')
+                    ELSE strftime(o.o_orderdate, '%-d/%-m/%Y') END AS date,
                CAST(l.l_orderkey AS VARCHAR) AS order_id,
                CAST(o.o_custkey AS VARCHAR) AS customer_id,
                CAST(l.l_partkey AS VARCHAR) AS product_id,
@@ -53,7 +55,8 @@ BLOCKS = {
     "item_margin": """
         SELECT p.p_name AS item, 0.30 + 200 * (avg(l.l_discount) - 0.05) AS margin
         FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey
-        WHERE p.p_name NOT LIKE 'blue %' GROUP BY p.p_name""",
+        GROUP BY p.p_name""",
+    "some_margins": "SELECT * FROM item_margin WHERE item NOT LIKE 'blue %'",
     "items": "SELECT DISTINCT order_id, product_title AS item FROM orderlines",
     "groups": "SELECT DISTINCT order_id, product_group_level_1 AS item FROM orderlines",
     "customers": f"""

@@ -9,10 +9,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-# Sizes are left to AQE: start from many small shuffle partitions, let AQE merge
-# them to the advisory size, and let it split a partition that one key fills.
+# AQE merges small shuffle partitions to the advisory size and splits one that a
+# join's hot key fills, but it never makes more of them otherwise: ``build_session``
+# sets their number from the size of the input.
 RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -21,18 +21,35 @@ RECOMMENDED = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.session.timeZone": "UTC",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
 }
 
 
+# Input bytes behind one shuffle partition; rows grow when they are decoded.
+BYTES_PER_PARTITION = 64 << 20
+
+
+def partitions_for(input_bytes: int) -> int:
+    """Shuffle partitions for an input of that many bytes, 16 at least."""
+    return max(16, -(-input_bytes // BYTES_PER_PARTITION))
+
+
 def build_session(
     app: str = "tillscope",
     master: str | None = None,
     shuffle_partitions: int | None = None,
+    input_bytes: int | None = None,
     **conf: str,
 ) -> SparkSession:
-    """A session with the recommended settings; keyword settings win."""
+    """A session with the recommended settings; keyword settings win.
+
+    ``input_bytes`` is the size of the tables to be read: shuffles then start with
+    as many partitions as ``partitions_for`` says.
+    """
+    if input_bytes is not None and shuffle_partitions is None:
+        shuffle_partitions = partitions_for(input_bytes)
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -98,11 +115,3 @@ def materialise(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
-    """Mark a materialised table for broadcast if it has at most ``max_rows`` rows.
-
-    Above that the join is left to Spark, which shuffles and splits hot keys.
-    """
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df

@@ -49,7 +49,7 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
-def _star(spark: SparkSession, root: str, wanted: set[str], rely_on_keys: bool) -> DataFrame:
+def star(spark: SparkSession, root: str, wanted: set[str], rely_on_keys: bool) -> DataFrame:
     """Line items joined with the dimensions that ``wanted`` needs.
 
     A dimension that gives no wanted column could only remove lines whose key it
@@ -78,7 +78,7 @@ def _star(spark: SparkSession, root: str, wanted: set[str], rely_on_keys: bool)
     return lines
 
 
-def _column(name: str) -> Column:
+def line_column(name: str) -> Column:
     return {
         "date": lambda: F.col("o_orderdate").cast("date"),
         "order_id": lambda: F.col("l_orderkey").cast("string"),
@@ -96,61 +96,9 @@ def order_lines(
     spark: SparkSession,
     root: str,
     columns: Iterable[str] | None = None,
-    rely_on_keys: bool = True,
+    rely_on_keys: bool = False,
 ) -> DataFrame:
     """The order-line view over lineitem, orders, customer and part."""
     names = tuple(columns) if columns is not None else COLUMNS
-    star = _star(spark, root, set(names), rely_on_keys)
-    return star.select(*[_column(name).alias(name) for name in names])
-
-
-def raw_order_lines(
-    spark: SparkSession,
-    root: str,
-    columns: Iterable[str] | None = None,
-    rely_on_keys: bool = True,
-) -> DataFrame:
-    """The same view with repeatable dirt, as input for the cleaning operators.
-
-    Dates are day.month.year text, some zip codes and titles are missing, some
-    group labels have the wrong case and some values are not positive.
-    """
-    names = tuple(columns) if columns is not None else COLUMNS
-    star = _star(spark, root, set(names), rely_on_keys)
-    dirty = {
-        "date": lambda: F.date_format("o_orderdate", "dd.MM.yyyy"),
-        "customer_zip_code": lambda: F.when(
-            F.col("l_orderkey") % 50 != 0, _column("customer_zip_code")
-        ),
-        "product_title": lambda: F.when(F.col("l_orderkey") % 77 != 3, F.col("p_name")),
-        "product_group_level_1": lambda: F.when(
-            F.col("l_partkey") % 10 == 0, F.lower("p_type")
-        ).otherwise(F.col("p_type")),
-        VALUE: lambda: F.when(F.col("l_discount") >= 0.095, -1.0)
-        .when((F.col("l_tax") == 0) & (F.col("l_quantity") <= 2), 0.0)
-        .otherwise(_column(VALUE)),
-    }
-    return star.select(
-        *[dirty.get(name, lambda n=name: _column(n))().alias(name) for name in names]
-    )
-
-
-def item_margins(spark: SparkSession, root: str) -> DataFrame:
-    """A margin per item title, derived from discounts.
-
-    Titles that start with ``blue `` are left out so that lookups meet items
-    without a margin.
-    """
-    lines = table(spark, root, "lineitem")
-    part = table(spark, root, "part").where(~F.col("p_name").startswith("blue "))
-    # Sum per part first: the join and the second grouping then see one row per
-    # part and not one per line.
-    per_part = lines.groupBy("l_partkey").agg(
-        F.sum("l_discount").alias("discount"), F.count("l_discount").alias("n")
-    )
-    return (
-        per_part.join(part, per_part.l_partkey == part.p_partkey)
-        .groupBy(F.col("p_name").alias("item"))
-        .agg(F.sum("discount").alias("discount"), F.sum("n").alias("n"))
-        .select("item", (0.30 + 200 * (F.col("discount") / F.col("n") - 0.05)).alias("margin"))
-    )
+    joined = star(spark, root, set(names), rely_on_keys)
+    return joined.select(*[line_column(name).alias(name) for name in names])
