@@ -12,7 +12,7 @@ from tillscope.session import materialise
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the position in the low bits
 
 
-def _sorted_slices(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+def sorted_slices(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
     """``df`` in global order, materialised, with slice number and position.
 
     ``orderBy`` gives range partitions. They are checkpointed, so the slice
@@ -49,7 +49,7 @@ def row_index(df: DataFrame, order: Sequence[str | Column], name: str = "row_id"
     Range partitions are numbered on their own and shifted by the row counts of
     the partitions before them; no row passes through a single task.
     """
-    slices = _sorted_slices(df, order)
+    slices = sorted_slices(df, order)
     return _with_offsets(slices, _rows_before=F.count(F.lit(1))).select(
         *df.columns, (F.col("_rows_before") + F.col("_position") + 1).alias(name)
     )
@@ -63,7 +63,7 @@ def running_prior_ratio(
     Partition totals are shifted as in ``row_index``; the running window works
     within one range partition at a time.
     """
-    slices = _sorted_slices(df, order)
+    slices = sorted_slices(df, order)
     within = (
         Window.partitionBy("_slice")
         .orderBy("_position")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillscope.operators.ordering import sorted_slices
+
 _ACCURACY = 10_000
 # The sketch is off by at most 1/accuracy of the rows; ask with room to spare.
 _SLACK = 3.0 / _ACCURACY
@@ -94,14 +96,35 @@ def exact_quantiles(
         )
         .withColumn("value", F.when(F.col("_kind") == 0, F.col("_greatest")).otherwise(F.col("_least")))
     )
+    # Values inside a bracket grow with the rows: they are sorted over range
+    # partitions and counted within each, then shifted by the counts of earlier
+    # partitions, so no group passes through one task.
+    groups = [*keys, "slot"]
+    slices = sorted_slices(counted, [*groups, "_kind", "value"])
+    earlier = (
+        Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    offsets = (
+        slices.groupBy("_slice", *groups)
+        .agg(F.sum("_rows").alias("_total"))
+        .select(
+            F.col("_slice").alias("_of"),
+            *[F.col(g).alias(f"_{g}_of") for g in groups],
+            F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"),
+        )
+    )
+    same_slice = [F.col("_slice") == F.col("_of")]
+    same_slice += [F.col(g).eqNullSafe(F.col(f"_{g}_of")) for g in groups]
     upto = (
-        Window.partitionBy(*keys, "slot")
-        .orderBy("_kind", "value")
+        Window.partitionBy("_slice", *groups)
+        .orderBy("_position")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     position = F.col("p") * (F.col("n") - 1)
     low_rank, high_rank = F.floor(position) + 1, F.ceil(position) + 1
-    ranked = counted.withColumn("_upto", F.sum("_rows").over(upto))
+    ranked = slices.join(offsets, same_slice).withColumn(
+        "_upto", F.col("_before") + F.sum("_rows").over(upto)
+    )
     # A wanted rank deeper below or above would mean a broken sketch: fail, not guess.
     too_low = (F.col("_kind") == 0) & (F.col("_upto") > low_rank)
     too_high = (F.col("_kind") == 2) & (F.col("_upto") - F.col("_rows") + 1 < high_rank)
