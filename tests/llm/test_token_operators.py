@@ -224,7 +224,8 @@ def test_small_archives_and_broken_ones(spark, tmp_path):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     folder = scratch_path(spark, "warc-test")
     manifest = warc.write_archives(warc.mark_revisits(pages), folder, max_bytes=600)
-    assert manifest.agg(F.sum("records")).first()[0] == len(PAGES) < 2 * manifest.count()
+    assert manifest.agg(F.sum("records")).first()[0] == len(PAGES)
+    assert manifest.count() >= 5
     body = b"payload " * 40
     whole = warc.record(1, "u", body, hashlib.sha256(body).hexdigest(), "response", None, "2024")
     text = zlib.decompress(whole, 31)
