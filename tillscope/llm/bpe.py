@@ -37,7 +37,7 @@ _CACHED_BYTES = 64
 _CACHE_ENTRIES = 500_000
 
 
-def _byte_names() -> dict[str, int]:
+def byte_names() -> dict[str, int]:
     """The printable name of each byte: itself if printable, else from U+0100 on."""
     plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     names = {chr(b): b for b in plain}
@@ -51,7 +51,7 @@ class MergeList:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as file:
             described = json.load(file)
-        names = _byte_names()
+        names = byte_names()
         model = described["model"]
         ids = model["vocab"]
 

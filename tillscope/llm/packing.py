@@ -11,6 +11,7 @@ and Toth 1990, 8.5); the remainder is packed best fit, longest first.
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tillscope.llm.bpe import byte_names
 from tillscope.operators.ordering import row_index
 from tillscope.session import materialise, ship_package
 
@@ -31,13 +33,18 @@ _CACHE_ENTRIES = 500_000
 # ``str.split`` cuts at these too, the tokenizer does not.
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
 _VISIBLE = regex.compile(r"\S+")
+# Beyond these characters, or with what may be an added token, the library decides.
+_WIDE = regex.compile(r"[^\x00-\xff]|<\|")
 
 
 class WordCoder:
     """Token ids by the tokenizers library, remembered by white-space-free run.
 
     For tokenizers that drop white space and never join across it: the ids of a
-    text are those of its runs, one after the other.
+    text are those of its runs, one after the other. A new run is cut into words
+    by the tokenizer's own pattern, and only new words go to its model. That holds
+    for characters up to U+00FF, which its normaliser leaves as they are but for
+    lower case; other runs go through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -46,6 +53,39 @@ class WordCoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            described = json.load(file)
+        steps = [s["type"] for s in (described["normalizer"] or {}).get("normalizers", [])]
+        cuts = (described["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.model = None
+        if steps == ["NFC", "Replace", "Lowercase"] and [c["type"] for c in cuts] == [
+            "Split",
+            "ByteLevel",
+        ]:
+            self.model = self.library.model
+            self.pattern = regex.compile(cuts[0]["pattern"]["Regex"])
+            names = {b: name for name, b in byte_names().items()}
+            self.names = [names[b] for b in range(256)]
+
+    def _word(self, word: str) -> bytes:
+        named = word
+        if not (word.isascii() and word.isprintable()):
+            named = "".join(self.names[b] for b in word.encode())
+        return np.array([t.id for t in self.model.tokenize(named)], "<u4").tobytes()
+
+    def _run(self, run: str) -> bytes:
+        if self.model is None or _WIDE.search(run) is not None:
+            return np.array(self.library.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = []
+        for word in self.pattern.findall(run.lower()):
+            found = self.words.get(word)
+            if found is None:
+                if len(self.words) >= _CACHE_ENTRIES:
+                    self.words.clear()
+                found = self.words[word] = self._word(word)
+            ids.append(found)
+        return b"".join(ids)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
@@ -55,10 +95,7 @@ class WordCoder:
             if len(self.known) > _CACHE_ENTRIES:
                 self.known.clear()
                 new = list(set(runs))
-            found = self.library.encode_batch(new, add_special_tokens=False)
-            self.known.update(
-                (run, np.array(e.ids, "<u4").tobytes()) for run, e in zip(new, found)
-            )
+            self.known.update((run, self._run(run)) for run in new)
         return b"".join(map(self.known.__getitem__, runs))
 
 
