@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -98,7 +99,16 @@ def lloyd_clusters(
     Seeds sit at the feature means, spread over quantiles of one feature, so the
     result is repeatable. Each round is one aggregation that returns k rows.
     """
-    data = materialise(base)
+    return _lloyd(materialise(base), quantile_seeds, rounds, features, spread)
+
+
+def _lloyd(
+    data: DataFrame,
+    quantile_seeds: Sequence[float],
+    rounds: int,
+    features: Sequence[str] = FEATURES,
+    spread: str = "monetary",
+) -> DataFrame:
     means = data.agg(*[F.avg(f).alias(f) for f in features]).first().asDict()
     seeds = exact_quantiles(data, [spread], quantile_seeds).first()["quantiles"]
     centers = [{**means, spread: seed} for seed in seeds]
@@ -114,6 +124,50 @@ def lloyd_clusters(
     return data.withColumn("cluster", _nearest(centers, features))
 
 
+def divisive_clusters(
+    base: DataFrame,
+    levels: int = 2,
+    rounds: int = 3,
+    quantile_seeds: tuple[float, float] = (0.25, 0.75),
+    features: Sequence[str] = FEATURES,
+    spread: str = "monetary",
+) -> DataFrame:
+    """Split every cluster in two, ``levels`` times, by Lloyd rounds from fixed seeds.
+
+    The seeds of a cluster sit at its means, at two quantiles of one feature. Each
+    round is one aggregation with a row per side; a side that lost all its rows
+    keeps its centre.
+    """
+    data = materialise(base.withColumn("cluster", F.lit(1).cast("long")))
+    for _ in range(levels):
+        means = data.groupBy("cluster").agg(*[F.avg(f).alias(f) for f in features])
+        seeds = exact_quantiles(data, [spread], quantile_seeds, by=["cluster"], few_groups=True)
+        centers = {}
+        for row in means.join(seeds, "cluster").collect():  # one row per cluster
+            for side, value in enumerate(row["quantiles"], start=1):
+                own = {f: row[f] for f in features}
+                centers[2 * (row["cluster"] - 1) + side] = {**own, spread: value}
+        parents = sorted({(c + 1) // 2 for c in centers})
+
+        def side_of(parent: int) -> Column:
+            pair = [centers[2 * parent - 1], centers[2 * parent]]
+            return 2 * (parent - 1) + _nearest(pair, features)
+
+        def label() -> Column:
+            value = F.lit(None).cast("long")
+            for parent in parents:
+                value = F.when(F.col("cluster") == parent, side_of(parent)).otherwise(value)
+            return value
+
+        for _ in range(rounds):
+            for row in data.groupBy(label().alias("side")).agg(
+                *[F.avg(f).alias(f) for f in features]
+            ).collect():
+                centers[row["side"]] = {f: row[f] for f in features}
+        data = materialise(data.withColumn("cluster", label()))
+    return data
+
+
 def _vectors(base: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(base)
 
@@ -212,7 +266,11 @@ def anova(labelled: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
 
 
 def validity_indices(labelled: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
-    """Calinski-Harabasz and Davies-Bouldin index of a clustering, as one row."""
+    """Calinski-Harabasz, Davies-Bouldin and silhouette of a clustering, as one row.
+
+    The silhouette takes squared distances, whose mean to a cluster follows from
+    its size, sums and sum of squares: one pass, no pairs.
+    """
     squares = anova(labelled, features).agg(
         F.sum("ss_between").alias("between"),
         F.sum("ss_within").alias("within"),
@@ -256,11 +314,64 @@ def validity_indices(labelled: DataFrame, features: Sequence[str] = FEATURES) ->
     bouldin = row.select(
         (F.aggregate(worst, F.lit(0.0), lambda s, v: s + v) / F.size("_all")).alias("db")
     )
+    square = sum((F.col(f) * F.col(f) for f in features[1:]), F.col(features[0]) * F.col(features[0]))
+    moments = (
+        labelled.groupBy("cluster")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum(square).alias("q"),
+            *[F.sum(f).alias(f"s_{f}") for f in features],
+        )
+        .agg(F.collect_list(F.struct("cluster", "n", "q", *[f"s_{f}" for f in features])))
+    )  # k entries in one row
+
+    def mean_gap(c: Column) -> Column:
+        inner = sum((F.col(f) * c[f"s_{f}"] for f in features[1:]), F.col(features[0]) * c[f"s_{features[0]}"])
+        return square + c["q"] / c["n"] - 2 * inner / c["n"]
+
+    own = F.filter("_clusters", lambda c: c["cluster"] == F.col("cluster"))[0]
+    gaps = labelled.withColumn("_clusters", moments.scalar()).select(
+        own["n"].alias("n"),
+        F.when(own["n"] > 1, mean_gap(own) * own["n"] / (own["n"] - 1)).alias("a"),
+        F.array_min(
+            F.transform(
+                F.filter("_clusters", lambda c: c["cluster"] != F.col("cluster")), mean_gap
+            )
+        ).alias("b"),
+    )
+    silhouette = gaps.agg(
+        F.avg(
+            F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
+        )
+    )
     return squares.select(
-        ratio.alias("calinski_harabasz"), bouldin.scalar().alias("davies_bouldin")
+        ratio.alias("calinski_harabasz"),
+        bouldin.scalar().alias("davies_bouldin"),
+        silhouette.scalar().alias("silhouette"),
     )
 
 
+def repeatable_sweep(
+    base: DataFrame, ks: Sequence[int] = tuple(range(2, 9)), rounds: int = 3
+) -> DataFrame:
+    """``sweep_k`` over ``lloyd_clusters`` with k evenly spread quantile seeds."""
+    data = materialise(base)
+    parts = []
+    for k in ks:
+        labelled = _lloyd(data, [(2 * i + 1) / (2 * k) for i in range(k)], rounds)
+        within = anova(labelled).agg(F.sum("ss_within"))
+        parts.append(
+            validity_indices(labelled).select(
+                F.lit(k).cast("long").alias("k"),
+                within.scalar().alias("within_ss"),
+                "silhouette",
+                "calinski_harabasz",
+                "davies_bouldin",
+            )
+        )
+    return materialise(reduce(DataFrame.unionByName, parts))
+
+
 def sweep_k(
     base: DataFrame,
     ks: Sequence[int] = tuple(range(2, 9)),

@@ -29,29 +29,62 @@ _INLIERS = {
 }
 
 
-def _lloyd_blocks() -> dict[str, str]:
-    seeds = " UNION ALL ".join(
-        f"SELECT CAST({i} AS BIGINT) AS cluster, avg(recency) AS recency, "
+def _seeds_sql(table: str, columns: str, seeds, number: str, by: str = "") -> str:
+    return " UNION ALL ".join(
+        f"SELECT {columns}CAST({i} AS BIGINT) AS {number}, avg(recency) AS recency, "
         f"avg(frequency) AS frequency, {quantile('list(monetary ORDER BY monetary)', p)} AS monetary "
-        "FROM inliers"
-        for i, p in enumerate(_SEEDS, start=1)
+        f"FROM {table}{by}"
+        for i, p in enumerate(seeds, start=1)
     )
-    blocks = {**_INLIERS, "m0": seeds}
+
+
+def _centers_sql(centers: str, assigned: str, keys: str) -> str:
+    """New centres; one that lost all its rows stays where it was."""
+    means = ", ".join(f"coalesce(avg(a.{f}), any_value(m.{f})) AS {f}" for f in _FEATURES)
+    group = ", ".join(f"m.{k.strip()}" for k in keys.split(","))
+    return (
+        f"SELECT {group}, {means} FROM {centers} m LEFT JOIN {assigned} a USING ({keys}) "
+        f"GROUP BY {group}"
+    )
+
+
+def _lloyd_blocks(seeds=_SEEDS, tag: str = "") -> dict[str, str]:
+    blocks = {f"m{tag}0": _seeds_sql("inliers", "", seeds, "cluster")}
     for i in range(_ROUNDS + 1):
-        blocks[f"a{i}"] = f"""
+        blocks[f"a{tag}{i}"] = f"""
             SELECT c.customer_id, c.recency, c.frequency, c.monetary,
                    arg_min(m.cluster, {_DISTANCE}) AS cluster
-            FROM inliers c CROSS JOIN m{i} m GROUP BY ALL"""
+            FROM inliers c CROSS JOIN m{tag}{i} m GROUP BY ALL"""
         if i < _ROUNDS:
-            blocks[f"m{i + 1}"] = (
-                f"SELECT cluster, avg(recency) AS recency, avg(frequency) AS frequency, "
-                f"avg(monetary) AS monetary FROM a{i} GROUP BY cluster"
-            )
-    blocks["labelled"] = f"SELECT * FROM a{_ROUNDS}"
+            blocks[f"m{tag}{i + 1}"] = _centers_sql(f"m{tag}{i}", f"a{tag}{i}", "cluster")
+    blocks[f"labelled{tag}"] = f"SELECT * FROM a{tag}{_ROUNDS}"
     return blocks
 
 
-_LLOYD = _lloyd_blocks()
+def _divisive_blocks(levels: int = 2, seeds=(0.25, 0.75)) -> dict[str, str]:
+    blocks = {"l0": "SELECT *, CAST(1 AS BIGINT) AS cluster FROM inliers"}
+    for level in range(levels):
+        blocks[f"c{level}_0"] = _seeds_sql(
+            f"l{level}", "cluster, ", seeds, "side", " GROUP BY cluster"
+        )
+        for i in range(_ROUNDS + 1):
+            blocks[f"s{level}_{i}"] = f"""
+                SELECT c.customer_id, c.recency, c.frequency, c.monetary, c.cluster,
+                       arg_min(m.side, {_DISTANCE}) AS side
+                FROM l{level} c JOIN c{level}_{i} m ON m.cluster = c.cluster GROUP BY ALL"""
+            if i < _ROUNDS:
+                blocks[f"c{level}_{i + 1}"] = _centers_sql(
+                    f"c{level}_{i}", f"s{level}_{i}", "cluster, side"
+                )
+        blocks[f"l{level + 1}"] = (
+            f"SELECT * REPLACE (2 * (cluster - 1) + side AS cluster) FROM s{level}_{_ROUNDS}"
+        )
+    blocks["divided"] = f"SELECT * FROM l{levels}"
+    return blocks
+
+
+_LLOYD = {**_INLIERS, **_lloyd_blocks()}
+_DIVISIVE = _divisive_blocks()
 
 
 def _base(spark, root):
@@ -95,9 +128,12 @@ def clu_drop_outliers(spark, root):
     return rounded(_inliers(spark, root), monetary=4)
 
 
-@query("clu_hierarchical")
+@query(
+    "clu_hierarchical",
+    sql("customers", "SELECT customer_id, cluster FROM divided", **_INLIERS, **_DIVISIVE),
+)
 def clu_hierarchical(spark, root):
-    return clustering.hierarchical_clusters(_inliers(spark, root))
+    return clustering.divisive_clusters(_inliers(spark, root)).select("customer_id", "cluster")
 
 
 @query(
@@ -178,51 +214,126 @@ def clu_anova(spark, root):
 
 _SQUARES = " + ".join(f"pow(l.{f} - c.{f}, 2)" for f in _FEATURES)
 _GAPS = " + ".join(f"pow(a.{f} - b.{f}, 2)" for f in _FEATURES)
-_INDEX_BLOCKS = {
-    **_LLOYD,
-    "centers": "SELECT cluster, count(*) AS n, avg(recency) AS recency, "
-    "avg(frequency) AS frequency, avg(monetary) AS monetary FROM labelled GROUP BY cluster",
-    "grand": "SELECT avg(recency) AS recency, avg(frequency) AS frequency, "
-    "avg(monetary) AS monetary FROM labelled",
-    "spread": f"""
-        SELECT c.cluster, c.recency, c.frequency, c.monetary,
-               avg(sqrt({_SQUARES})) AS s, sum({_SQUARES}) AS w
-        FROM labelled l JOIN centers c ON c.cluster = l.cluster GROUP BY ALL""",
-    "between_squares": "SELECT sum(c.n * ("
-    + " + ".join(f"pow(c.{f} - g.{f}, 2)" for f in _FEATURES)
-    + ")) AS b FROM centers c CROSS JOIN grand g",
-    "worst": f"""
-        SELECT a.cluster, max((a.s + b.s) / sqrt({_GAPS})) AS w
-        FROM spread a JOIN spread b ON a.cluster <> b.cluster GROUP BY a.cluster""",
+_POINT = " + ".join(f"l.{f} * l.{f}" for f in _FEATURES)
+_INNER = " + ".join(f"l.{f} * m.s_{f}" for f in _FEATURES)
+
+
+def _index_blocks(tag: str = "") -> dict[str, str]:
+    """The indices of ``labelled<tag>`` as the one row ``indices<tag>``."""
+    t = tag
+    return {
+        f"centers{t}": "SELECT cluster, count(*) AS n, avg(recency) AS recency, "
+        f"avg(frequency) AS frequency, avg(monetary) AS monetary FROM labelled{t} GROUP BY cluster",
+        f"grand{t}": "SELECT avg(recency) AS recency, avg(frequency) AS frequency, "
+        f"avg(monetary) AS monetary FROM labelled{t}",
+        f"spread{t}": f"""
+            SELECT c.cluster, c.recency, c.frequency, c.monetary,
+                   avg(sqrt({_SQUARES})) AS s, sum({_SQUARES}) AS w
+            FROM labelled{t} l JOIN centers{t} c ON c.cluster = l.cluster GROUP BY ALL""",
+        f"between_squares{t}": "SELECT sum(c.n * ("
+        + " + ".join(f"pow(c.{f} - g.{f}, 2)" for f in _FEATURES)
+        + f")) AS b FROM centers{t} c CROSS JOIN grand{t} g",
+        f"worst{t}": f"""
+            SELECT a.cluster, max((a.s + b.s) / sqrt({_GAPS})) AS w
+            FROM spread{t} a JOIN spread{t} b ON a.cluster <> b.cluster GROUP BY a.cluster""",
+        f"moments{t}": f"""
+            SELECT cluster, count(*) AS n, sum({_POINT}) AS q,
+                   {', '.join(f'sum({f}) AS s_{f}' for f in _FEATURES)}
+            FROM labelled{t} l GROUP BY cluster""",
+        f"gaps{t}": f"""
+            SELECT l.customer_id, l.cluster = m.cluster AS own, m.n,
+                   {_POINT} + m.q / m.n - 2 * ({_INNER}) / m.n AS d
+            FROM labelled{t} l CROSS JOIN moments{t} m""",
+        f"sides{t}": f"""
+            SELECT max(n) FILTER (own) AS n, max(d * n / (n - 1)) FILTER (own AND n > 1) AS a,
+                   min(d) FILTER (NOT own) AS b
+            FROM gaps{t} GROUP BY customer_id""",
+        f"indices{t}": f"""
+            SELECT w AS within_ss,
+                   (SELECT avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END)
+                    FROM sides{t}) AS silhouette,
+                   b / (k - 1) / (w / (n - k)) AS calinski_harabasz,
+                   (SELECT avg(w) FROM worst{t}) AS davies_bouldin
+            FROM between_squares{t} CROSS JOIN
+                 (SELECT sum(w) AS w, count(*) AS k, (SELECT count(*) FROM labelled{t}) AS n
+                  FROM spread{t})""",
+    }
+
+
+_KS = range(2, 9)
+_SWEEP = {
+    **_INLIERS,
+    **{
+        name: block
+        for k in _KS
+        for name, block in {
+            **_lloyd_blocks([(2 * i + 1) / (2 * k) for i in range(k)], f"_k{k}_"),
+            **_index_blocks(f"_k{k}_"),
+        }.items()
+    },
+    "sweep": " UNION ALL ".join(
+        f"SELECT CAST({k} AS BIGINT) AS k, * FROM indices_k{k}_" for k in _KS
+    ),
 }
 
 
 @query(
     "clu_validity_indices",
-    sql("customers", "SELECT round(b / (k - 1) / (w / (n - k)), 5) AS calinski_harabasz, "
-        "round((SELECT avg(w) FROM worst), 8) AS davies_bouldin FROM between_squares CROSS JOIN "
-        "(SELECT sum(w) AS w, count(*) AS k, (SELECT count(*) FROM labelled) AS n FROM spread)",
-        **_INDEX_BLOCKS),
+    sql("customers", "SELECT round(calinski_harabasz, 5) AS calinski_harabasz, "
+        "round(davies_bouldin, 8) AS davies_bouldin, round(silhouette, 7) AS silhouette "
+        "FROM indices", **_LLOYD, **_index_blocks()),
 )
 def clu_validity_indices(spark, root):
     """The indices behind the choice of k, on the repeatable clusters."""
     indices = clustering.validity_indices(_lloyd(spark, root))
-    return rounded(indices, calinski_harabasz=5, davies_bouldin=8)
+    return rounded(indices, calinski_harabasz=5, davies_bouldin=8, silhouette=7)
 
 
-@query("clu_height_gain")
+@query(
+    "clu_height_gain",
+    sql("customers", "SELECT k, round(height / 1e6, 3) AS height, "
+        "CASE WHEN k < 7 THEN round(gain, 6) END AS gain FROM "
+        "(SELECT k, height, height / coalesce(sum(height) OVER (ORDER BY k DESC "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0) AS gain FROM "
+        "(SELECT k, within_ss - lead(within_ss) OVER (ORDER BY k) AS height FROM sweep) "
+        "WHERE height IS NOT NULL)", **_SWEEP),
+)
 def clu_height_gain(spark, root):
-    return clustering.height_gain(clustering.sweep_k(_inliers(spark, root), with_indices=False))
+    """Heights in millions; the first merge has no earlier one to compare with."""
+    gains = clustering.height_gain(clustering.repeatable_sweep(_inliers(spark, root)))
+    shown = {
+        "height": F.col("height") / 1e6,
+        "gain": F.when(F.col("k") < max(_KS) - 1, F.col("gain")),
+    }
+    return rounded(gains.withColumns(shown), height=3, gain=6)
 
 
-@query("clu_choose_k")
+@query(
+    "clu_choose_k",
+    sql("customers", "SELECT k, round(silhouette, 7) AS silhouette, "
+        "round(calinski_harabasz, 4) AS calinski_harabasz, "
+        "round(davies_bouldin, 7) AS davies_bouldin, votes, "
+        "row_number() OVER (ORDER BY votes DESC, k) = 1 AS best FROM "
+        "(SELECT *, CAST(k = (SELECT k FROM sweep ORDER BY silhouette DESC, k LIMIT 1) AS BIGINT) "
+        "+ CAST(k = (SELECT k FROM sweep ORDER BY calinski_harabasz DESC, k LIMIT 1) AS BIGINT) "
+        "+ CAST(k = (SELECT k FROM sweep ORDER BY davies_bouldin, k LIMIT 1) AS BIGINT) AS votes "
+        "FROM sweep)", **_SWEEP),
+)
 def clu_choose_k(spark, root):
-    return clustering.choose_k(clustering.sweep_k(_inliers(spark, root)))
+    chosen = clustering.choose_k(clustering.repeatable_sweep(_inliers(spark, root)))
+    return rounded(
+        chosen.drop("within_ss"), silhouette=7, calinski_harabasz=4, davies_bouldin=7
+    )
 
 
-@query("clu_alt_linkage")
+@query(
+    "clu_alt_linkage",
+    sql("customers", "SELECT d.cluster, l.cluster AS other_cluster, count(*) AS customers "
+        "FROM divided d JOIN labelled l USING (customer_id) GROUP BY ALL", **_LLOYD, **_DIVISIVE),
+)
 def clu_alt_linkage(spark, root):
-    base = _inliers(spark, root)
+    base = materialise(_inliers(spark, root))
     return clustering.cross_tab(
-        clustering.hierarchical_clusters(base), clustering.flat_clusters(base)
+        clustering.divisive_clusters(base),
+        clustering.lloyd_clusters(base, _SEEDS, _ROUNDS),
     )
