@@ -24,3 +24,13 @@ def restored(
         if c not in new
     ]
     return df.select(*kept, *[value.alias(name) for name, value in new.items()])
+
+
+def apart(key: Column) -> Column:
+    """A long key as a new expression, for joining a table back to what it was grouped from.
+
+    Grouped by the very key, the table would keep that grouping for the join, and
+    a hot key's rows on the other side would all have to come to it. Dealt out
+    anew, both sides are plain shuffles, and AQE splits the hot key.
+    """
+    return F.bitwise_not(F.bitwise_not(key))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillscope.llm.columns import apart
 from tillscope.session import materialise
 
 
@@ -20,7 +21,7 @@ def _to_least(edges: DataFrame, larger_only: bool) -> DataFrame:
     neighbours are gathered.
     """
     least = edges.groupBy("src").agg(F.min("dst").alias("least"))
-    least = least.select(F.col("src").alias("_node"), F.least("_node", "least").alias("least"))
+    least = least.select(apart(F.col("src")).alias("_node"), F.least("src", "least").alias("least"))
     moved = edges.join(least, F.col("src") == F.col("_node"))
     if larger_only:
         return moved.where("dst > src").select(F.col("dst").alias("src"), F.col("least").alias("dst"))

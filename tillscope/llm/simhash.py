@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillscope.llm.columns import carried, restored
+from tillscope.llm.columns import apart, carried, restored
 from tillscope.llm.components import connected_components
 from tillscope.session import materialise, ship_package
 
@@ -225,7 +225,8 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
         )
     )
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = rooted.join(named, "root").select("fp", "component_id")
+    named = named.select(apart(F.col("root")).alias("_root"), "component_id")
+    labels = rooted.join(named, F.col("root") == F.col("_root")).select("fp", "component_id")
     return marked.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillscope.llm.columns import carried, restored
+from tillscope.llm.columns import apart, carried, restored
 from tillscope.session import ship_package
 
 # Words in a unit: long enough that only copied text repeats one, and half of the
@@ -106,7 +106,7 @@ def repeated_spans(docs: DataFrame, size: int = UNIT_WORDS) -> DataFrame:
         units.groupBy(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"))
         .agg(F.min("doc").alias("kept_doc"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
-        .drop("n")
+        .select(apart(F.col("_h1")).alias("_h1"), "_h2", "kept_doc")
     )
     later = units.join(firsts, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).where(
         "doc > kept_doc OR again"

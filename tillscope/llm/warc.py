@@ -19,6 +19,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillscope.llm.columns import apart
 from tillscope.session import materialise, scratch_path, ship_package
 
 # Format version, revisit profile, and the smallest payload that a
@@ -57,7 +58,7 @@ def mark_revisits(pages: DataFrame) -> DataFrame:
         .groupBy(F.col("digest").alias("_digest"), F.col("payload_bytes").alias("_bytes"))
         .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
         .where("n > 1 AND first_id IS NOT NULL")
-        .drop("n")
+        .select("_digest", apart(F.col("_bytes")).alias("_bytes"), "first_id")
     )
     same = (F.col("digest") == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes"))
     later = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
