@@ -9,6 +9,7 @@ members are linked through the fingerprints around them (``_crowded_links``).
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -230,6 +231,25 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     return marked.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
+def word_fingerprint(text: str | None, seed: int) -> int:
+    """SimHash of the words of a text, each weighing the root of its frequency.
+
+    An edited word moves this far less than a fingerprint over shingles, and the
+    root keeps a language's most frequent words from deciding alone.
+    """
+    counts = Counter((text or "").encode("utf-8", "surrogatepass").lower().split())
+    if not counts:
+        return 0
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(w, seed) for w in counts), np.uint64, len(counts))
+    weights = np.sqrt(np.fromiter(counts.values(), float, len(counts)))
+    votes = np.zeros(BITS)
+    for at in range(0, len(hashes), 4096):
+        block = hashes[at : at + 4096].astype(">u8").view(np.uint8).reshape(-1, 8)
+        votes += weights[at : at + 4096] @ np.unpackbits(block, axis=1)
+    return int.from_bytes(np.packbits(2 * votes > weights.sum()).tobytes(), "big")
+
+
 def shingles(text: str | None, width: int) -> set[bytes]:
     """The distinct word shingles of a text; fewer words form one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -270,15 +290,17 @@ def keep_representatives(
     docs: DataFrame,
     width: int = 5,
     similarity: float = 0.8,
-    seeds: tuple[int, ...] = (SEED, SEED + 1),
+    seeds: tuple[int, ...] = (SEED, SEED + 1, SEED + 2),
+    crowd_size: int = 32,
 ) -> DataFrame:
     """``docs`` with one document of each group of near copies; all columns stay.
 
     Near copies share ``similarity`` of their distinct ``width``-word shingles.
-    Candidates are texts whose fingerprints over single words link: an edited word
-    moves these far less than fingerprints over shingles. Each seed gives an
-    independent fingerprint and a round; the second round looks again at one text
-    of each group. Every candidate pair is verified on whole texts; groups are the
+    Candidates are texts whose fingerprints over single words link
+    (``word_fingerprint``). Each seed gives an independent fingerprint and a round;
+    later rounds look again at one text of each group. In a round, each text is
+    verified on whole texts against the closest of its links that come before it,
+    one pair per text at most, however many copies there are; groups are the
     components of what holds. Equal texts form one class before that.
 
     The document with the smallest id stays, rows without an id behind all others;
@@ -293,7 +315,7 @@ def keep_representatives(
             texts = batch.column("text")
             columns = [
                 np.fromiter(
-                    (fingerprint(t.as_py(), 1, seed) for t in texts), np.uint64, batch.num_rows
+                    (word_fingerprint(t.as_py(), seed) for t in texts), np.uint64, batch.num_rows
                 ).view(np.int64)
                 for seed in seeds
             ]
@@ -324,14 +346,19 @@ def keep_representatives(
         source = heads.select(F.col("fp").alias("src"), F.col("head").alias("a"))
         target = heads.select(F.col("fp").alias("dst"), F.col("head").alias("b"))
         across = (
-            links(heads.select("fp")).distinct().join(source, "src").join(target, "dst")
-        ).select("a", "b")
+            links(heads.select("fp"), crowd_size).join(source, "src").join(target, "dst")
+        ).select("a", "b", F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))).alias("bits"))
         within = (
             alive.join(heads, F.col(name) == F.col("fp"))
             .where("mark <> head")
-            .select(F.col("mark").alias("a"), F.col("head").alias("b"))
+            .select(F.col("mark").alias("a"), F.col("head").alias("b"), F.lit(0).alias("bits"))
+        )
+        closest = (
+            across.unionByName(within)
+            .groupBy(F.greatest("a", "b").alias("b"))
+            .agg(F.min(F.struct("bits", F.least("a", "b").alias("a"))).alias("_closest"))
         )
-        pairs = materialise(across.unionByName(within))
+        pairs = materialise(closest.select("_closest.a", "b"))
         found = materialise(
             _similar(pairs, whole, width, similarity).select(
                 F.col("a").alias("src"), F.col("b").alias("dst")
