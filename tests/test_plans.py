@@ -7,7 +7,8 @@ import pytest
 
 from tillscope.operators.lifetime import event_log, purchase_history
 from tillscope.plans.catalogue import QUERIES
-from tillscope.sources.order_lines import VALUE, order_lines, read_order_lines
+from tillscope.plans.test_tables import order_lines
+from tillscope.sources.order_lines import VALUE, read_order_lines
 
 LAZY = [
     "agg_top_customers",
