@@ -9,7 +9,7 @@ members are linked through the fingerprints around them (``_crowded_links``).
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tillscope.llm.columns import apart, carried, restored
 from tillscope.llm.components import connected_components
-from tillscope.session import materialise, ship_package
+from tillscope.session import materialise, scratch_path, ship_package
 
 # Fingerprint size, link distance, hash seed.
 BITS = 64
@@ -28,6 +28,8 @@ MAX_DISTANCE = 3
 SEED = 42
 
 _HALF = BITS // 2
+# Rounds that merge large groups of near copies before the rest is paired.
+_ROUNDS = 3
 
 
 def fingerprint(text: str | None, width: int, seed: int = SEED) -> int:
@@ -231,25 +233,6 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     return marked.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-def word_fingerprint(text: str | None, seed: int) -> int:
-    """SimHash of the words of a text, each weighing the root of its frequency.
-
-    An edited word moves this far less than a fingerprint over shingles, and the
-    root keeps a language's most frequent words from deciding alone.
-    """
-    counts = Counter((text or "").encode("utf-8", "surrogatepass").lower().split())
-    if not counts:
-        return 0
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(w, seed) for w in counts), np.uint64, len(counts))
-    weights = np.sqrt(np.fromiter(counts.values(), float, len(counts)))
-    votes = np.zeros(BITS)
-    for at in range(0, len(hashes), 4096):
-        block = hashes[at : at + 4096].astype(">u8").view(np.uint8).reshape(-1, 8)
-        votes += weights[at : at + 4096] @ np.unpackbits(block, axis=1)
-    return int.from_bytes(np.packbits(2 * votes > weights.sum()).tobytes(), "big")
-
-
 def shingles(text: str | None, width: int) -> set[bytes]:
     """The distinct word shingles of a text; fewer words form one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -286,90 +269,248 @@ def _similar(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -
     )
 
 
-def keep_representatives(
-    docs: DataFrame,
-    width: int = 5,
-    similarity: float = 0.8,
-    seeds: tuple[int, ...] = (SEED, SEED + 1, SEED + 2),
-    crowd_size: int = 32,
-) -> DataFrame:
-    """``docs`` with one document of each group of near copies; all columns stay.
+def shingle_hashes(text: str | None, width: int, known: dict[bytes, int]) -> np.ndarray:
+    """Distinct hashes of the word shingles of a text, in order; no words give one 0.
+
+    ``known`` keeps the hashes of words from one text to the next.
+    """
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(1, np.uint64)
+    if len(words) <= width:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
+    if len(known) > 1 << 18:
+        known.clear()
+    for word in set(words).difference(known):
+        known[word] = xxhash.xxh64_intdigest(word, SEED)
+    each = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    n = len(words) - width + 1
+    mixed = np.full(n, width, np.uint64)
+    for at in range(width):
+        mixed = (mixed ^ each[at : at + n]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return np.unique(mixed)
+
+
+def parities(hashes: np.ndarray) -> bytes:
+    """One bit for each of at least as many cells as hashes: is their number there odd.
+
+    Each hash that only one of two sets holds changes one cell, so as many differ
+    at most. The number of cells is a power of two, and halves fold by XOR.
+    """
+    cells = max(64, 1 << int(len(hashes) - 1).bit_length())
+    at = (hashes & np.uint64(cells - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=cells).astype(np.uint8) & 1).tobytes()
 
-    Near copies share ``similarity`` of their distinct ``width``-word shingles.
-    Candidates are texts whose fingerprints over single words link
-    (``word_fingerprint``). Each seed gives an independent fingerprint and a round;
-    later rounds look again at one text of each group. In a round, each text is
-    verified on whole texts against the closest of its links that come before it,
-    one pair per text at most, however many copies there are; groups are the
-    components of what holds. Equal texts form one class before that.
 
-    The document with the smallest id stays, rows without an id behind all others;
-    of repeated rows one stays. Null and empty texts are equal to each other. An
-    empty table gives no rows.
+def may_be_similar(n: int, x: bytes, m: int, y: bytes, similarity: float) -> bool:
+    """False only if sets of ``n`` and ``m`` hashes cannot have that Jaccard similarity."""
+    most = (n + m) * (1 - similarity) / (1 + similarity) + 1e-6
+    if abs(n - m) > most:
+        return False
+    u, v = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(u) > len(v):
+        u = u[: len(u) // 2] ^ u[len(u) // 2 :]
+    while len(v) > len(u):
+        v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+    return int(np.unpackbits(u ^ v).sum()) <= most
+
+
+def _frequent_shingles(whole: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of the most frequent shingles in a sixteenth of the texts.
+
+    They steer the order of shingles only: any order gives the same pairs, but with
+    frequent ones last few texts meet in vain.
     """
-    ship_package(docs.sparkSession)
-    names = [f"fp{n}" for n in range(len(seeds))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            for text in batch.column("text"):
+                found = shingle_hashes(text.as_py(), width, known).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(found)], ["h"])
+
+    rows = (
+        whole.where(F.pmod("mark", F.lit(16)) == 0)
+        .select("text")
+        .mapInArrow(run, "h long")
+        .groupBy("h")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where("n > 2")
+        .orderBy(F.desc("n"), "h")
+        .limit(1 << 15)
+        .collect()
+    )
+    hashes = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], np.array([r["n"] for r in rows], np.int64)[order]
+
+
+def _signatures(whole: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``(doc, mark, n, cells, prefix)``: size, parities and rarest shingles of each text.
+
+    Shingles are ordered by frequency, then by hash. Two sets with the similarity
+    share one of the first ``n - ceil(similarity * n) + 1`` of both.
+    """
+    frequent, counts = _frequent_shingles(whole, width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
         for batch in batches:
-            texts = batch.column("text")
-            columns = [
-                np.fromiter(
-                    (word_fingerprint(t.as_py(), seed) for t in texts), np.uint64, batch.num_rows
-                ).view(np.int64)
-                for seed in seeds
-            ]
+            sizes, cells, prefixes = [], [], []
+            for text in batch.column("text"):
+                hashes = shingle_hashes(text.as_py(), width, known)
+                n = len(hashes)
+                cells.append(parities(hashes))
+                if len(frequent):
+                    at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+                    weights = np.where(frequent[at] == hashes, counts[at], 0)
+                    hashes = hashes[np.argsort(weights, kind="stable")]
+                sizes.append(n)
+                prefixes.append(
+                    hashes[: n - math.ceil(similarity * n - 1e-6) + 1].view(np.int64)
+                )
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), batch.column("mark"), *map(pa.array, columns)],
-                ["doc", "mark", *names],
+                [
+                    batch.column("doc"),
+                    batch.column("mark"),
+                    pa.array(sizes, pa.int32()),
+                    pa.array(cells, pa.binary()),
+                    pa.array(prefixes, pa.list_(pa.int64())),
+                ],
+                ["doc", "mark", "n", "cells", "prefix"],
             )
 
-    def keyed(df: DataFrame) -> DataFrame:
-        text = F.coalesce(F.col("text"), F.lit(""))
-        rank = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-        return df.withColumns({"doc": rank, "mark": F.xxhash64(text)})
+    return whole.mapInArrow(run, "doc long, mark long, n int, cells binary, prefix array<long>")
 
-    whole = keyed(docs.select("doc_id", "text")).select("doc", "mark", "text")
-    marked = materialise(
-        whole.mapInArrow(
-            run, ", ".join(["doc long, mark long", *(f"{name} long" for name in names)])
-        )
+
+def _not_ruled_out(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs(a, b)`` of marks that ``may_be_similar``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("n", "x", "m", "y")]
+            keep = [may_be_similar(*row, similarity) for row in zip(*columns)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left = sets.select(F.col("mark").alias("a"), "n", F.col("cells").alias("x"))
+    right = sets.select(
+        F.col("mark").alias("b"), F.col("n").alias("m"), F.col("cells").alias("y")
     )
-    classes = materialise(
-        marked.groupBy("mark").agg(
-            F.min("doc").alias("least"), *[F.min(name).alias(name) for name in names]
-        )
+    return (
+        pairs.join(left, "a")
+        .join(right, "b")
+        .select("a", "b", "n", "x", "m", "y")
+        .mapInArrow(run, "a long, b long")
     )
-    alive, edges = classes, None
-    for name in names:
-        heads = materialise(alive.groupBy(F.col(name).alias("fp")).agg(F.min("mark").alias("head")))
-        source = heads.select(F.col("fp").alias("src"), F.col("head").alias("a"))
-        target = heads.select(F.col("fp").alias("dst"), F.col("head").alias("b"))
-        across = (
-            links(heads.select("fp"), crowd_size).join(source, "src").join(target, "dst")
-        ).select("a", "b", F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))).alias("bits"))
-        within = (
-            alive.join(heads, F.col(name) == F.col("fp"))
-            .where("mark <> head")
-            .select(F.col("mark").alias("a"), F.col("head").alias("b"), F.lit(0).alias("bits"))
-        )
-        closest = (
-            across.unionByName(within)
-            .groupBy(F.greatest("a", "b").alias("b"))
-            .agg(F.min(F.struct("bits", F.least("a", "b").alias("a"))).alias("_closest"))
-        )
-        pairs = materialise(closest.select("_closest.a", "b"))
-        found = materialise(
+
+
+def _rooted(rows: DataFrame, edges: DataFrame, turn: int = 0) -> DataFrame:
+    """``rows`` with ``root``, of those shingles that still join several groups.
+
+    ``top`` is the root and mark of one text of the shingle, another one each turn.
+    """
+    roots = connected_components(edges)
+    rows = rows.join(roots, F.col("mark") == F.col("node"), "left").select(
+        "h", "mark", "n", "at", F.coalesce("root", "mark").alias("root")
+    )
+    rows = materialise(rows)
+    open_ = rows.groupBy("h").agg(
+        F.min("root").alias("r"),
+        F.max("root").alias("s"),
+        F.min(F.struct(F.xxhash64("mark", F.lit(turn)), "root", "mark")).alias("top"),
+    )
+    open_ = open_.where("r <> s").select(apart(F.col("h")).alias("_h"), "top")
+    return rows.join(open_, F.col("h") == F.col("_h")).drop("_h")
+
+
+def similar_edges(whole: DataFrame, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """``(signatures, edges)``: verified ``(src, dst)`` between marks of ``whole(doc, mark, text)``.
+
+    Every pair with the similarity is connected by the edges, directly or through
+    others: exactly, by a prefix filter. A few rounds first try each text against
+    one that it meets under many shingles, so that a large group is one component
+    before anything is paired. Then all texts of different
+    components that meet under a shingle of both prefixes, and whose sizes and
+    parities do not rule it out, are verified on whole texts.
+    """
+    spark = whole.sparkSession
+    path = scratch_path(spark, "signatures")
+    _signatures(whole, width, similarity).write.parquet(path)
+    signatures = spark.read.parquet(path)
+    sets = signatures.groupBy("mark").agg(F.first("n").alias("n"), F.first("cells").alias("cells"))
+    each = signatures.select("mark", "n", F.posexplode("prefix").alias("at", "h"))
+    shared = (
+        each.groupBy("h")
+        .agg(F.min("mark").alias("low"), F.max("mark").alias("high"))
+        .where("low <> high")
+        .select(apart(F.col("h")).alias("_h"))
+    )
+    rows = materialise(
+        each.join(shared, F.col("h") == F.col("_h"), "left_semi")
+        .select("h", "mark", "n", "at")
+        .distinct()
+    )
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(_not_ruled_out(materialise(pairs), sets, similarity))
+        return materialise(
             _similar(pairs, whole, width, similarity).select(
                 F.col("a").alias("src"), F.col("b").alias("dst")
             )
         )
-        edges = found if edges is None else edges.unionByName(found)
-        roots = materialise(connected_components(edges))
-        # Of each group, the next round sees the root alone.
-        alive = classes.join(
-            roots.where("node <> root"), F.col("mark") == F.col("node"), "left_anti"
+
+    edges = spark.createDataFrame([], "src long, dst long")
+    for turn in range(_ROUNDS):
+        met = (
+            _rooted(rows, edges, turn)
+            .where("root <> top.root")
+            .groupBy(F.col("top.mark").alias("a"), F.col("mark").alias("b"))
+            .agg(F.count(F.lit(1)).alias("times"))
         )
+        best = met.groupBy("b").agg(F.max(F.struct("times", "a")).alias("best"))
+        found = verified(best.select("best.a", "b"))
+        if found.isEmpty():
+            break
+        edges = edges.unionByName(found)
+    rooted = _rooted(rows, edges).drop("top")
+    other = rooted.select(*[F.col(c).alias(f"{c}2") for c in rooted.columns])
+    # What both sets can still share from a first common shingle on.
+    rest = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
+    needed = (F.col("n") + F.col("n2")) * (similarity / (1 + similarity)) - 1e-6
+    pairs = rooted.join(
+        other,
+        (F.col("h") == F.col("h2"))
+        & (F.col("mark") < F.col("mark2"))
+        & (F.col("root") != F.col("root2"))
+        & (rest >= needed),
+    )
+    pairs = pairs.select(F.col("mark").alias("a"), F.col("mark2").alias("b")).distinct()
+    return signatures, edges.unionByName(verified(pairs))
+
+
+def keep_representatives(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group of near copies; all columns stay.
+
+    Near copies share ``similarity`` of their distinct ``width``-word shingles;
+    groups are the components of all such pairs (``similar_edges``). Equal texts
+    form one class before that.
+
+    The document with the smallest id stays, rows without an id behind all others;
+    of repeated rows one stays. Null and empty texts are equal to each other. An
+    empty table gives no rows.
+    """
+    ship_package(docs.sparkSession)
+
+    def keyed(df: DataFrame) -> DataFrame:
+        text = F.coalesce(F.col("text"), F.lit(""))
+        rank = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+        return df.withColumns({"doc": rank, "mark": F.xxhash64(text)})
+
+    whole = keyed(docs.select("doc_id", "text")).select("doc", "mark", "text")
+    marked, edges = similar_edges(whole, width, similarity)
+    classes = marked.groupBy("mark").agg(F.min("doc").alias("least"))
+    roots = materialise(connected_components(edges))
     grouped = classes.join(roots, F.col("mark") == F.col("node"), "left").select(
         "mark", "least", F.coalesce("root", "mark").alias("root")
     )
