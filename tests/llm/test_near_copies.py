@@ -42,3 +42,11 @@ def test_a_decoy_closer_by_fingerprint_hides_no_copy(spark):
         texts += [base, _edited(rng, base, 3)]
         texts += [_edited(rng, _shuffled(rng, base), 1) for _ in range(8)]
     assert _check(spark, [" ".join(t) for t in texts]) == 6
+
+
+def test_copies_in_a_crowd_of_close_fingerprints_are_found(spark):
+    rng = random.Random(2)
+    base = [f"w{k}" for k in range(300)]
+    texts = [_edited(rng, _shuffled(rng, base), 2) for _ in range(150)]
+    texts += [_edited(rng, t, 2) for t in texts[:30]]
+    assert _check(spark, [" ".join(t) for t in texts]) == 30
