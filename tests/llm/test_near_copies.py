@@ -50,3 +50,14 @@ def test_copies_in_a_crowd_of_close_fingerprints_are_found(spark):
     texts = [_edited(rng, _shuffled(rng, base), 2) for _ in range(150)]
     texts += [_edited(rng, t, 2) for t in texts[:30]]
     assert _check(spark, [" ".join(t) for t in texts]) == 30
+
+
+def test_copies_with_the_words_of_an_unrelated_text_are_found(spark):
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(200)]
+    texts = [_shuffled(rng, base) for _ in range(12)]
+    for text in texts[:6]:  # the same words, two of them swapped
+        copy = list(text)
+        copy[50], copy[51] = copy[51], copy[50]
+        texts.append(copy)
+    assert _check(spark, [" ".join(t) for t in texts]) == 6
