@@ -61,3 +61,30 @@ def test_copies_with_the_words_of_an_unrelated_text_are_found(spark):
         copy[50], copy[51] = copy[51], copy[50]
         texts.append(copy)
     assert _check(spark, [" ".join(t) for t in texts]) == 6
+
+
+def test_chains_of_edited_copies_are_one_group(spark):
+    rng = random.Random(4)
+    texts = []
+    for n in range(8):
+        text = [f"c{n}_{k}" for k in range(400)]
+        for _ in range(8):
+            texts.append(text)
+            text = _edited(rng, text, 8)
+    rng.shuffle(texts)
+    assert _check(spark, [" ".join(t) for t in texts]) == 56
+
+
+def test_prefixes_and_parities_rule_out_no_similar_pair(spark):
+    rng = random.Random(5)
+    for size in (1, 2, 7, 63, 64, 65, 500):
+        for share in (0.78, 0.8, 0.82, 1.0):
+            x = {rng.getrandbits(64) for _ in range(size)}
+            both = rng.sample(sorted(x), round(share * size))
+            y = set(both) | {rng.getrandbits(64) for _ in range(rng.randint(0, size // 9))}
+            if y and len(x & y) >= 0.8 * len(x | y):
+                u, v = (simhash.np.array(sorted(s), simhash.np.uint64) for s in (x, y))
+                a, b = simhash.parities(u), simhash.parities(v)
+                assert simhash.may_be_similar(len(u), a, len(v), b, 0.8)
+                p, q = ({*s[: len(s) - -(-4 * len(s) // 5) + 1].tolist()} for s in (u, v))
+                assert p & q
