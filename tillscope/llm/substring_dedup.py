@@ -1,9 +1,10 @@
-"""Substring dedup by hashing units: blocks of words that start at a line or sentence.
+"""Substring dedup by hashing units: whole lines and paragraphs, and blocks of words.
 
-A unit starts where a line or a sentence starts and runs for a fixed number of
-words, in lower case with single spaces, so a passage inside a longer line has
-units of its own. Digests are grouped over all documents; the earliest document
-keeps a unit and it is removed everywhere else. Offsets are those of the original.
+Blocks have a fixed number of words and start where the hash of the block is the
+least in a window of neighbours, so the same run of words has the same blocks
+wherever it stands. Units are in lower case with single spaces. Digests are grouped
+over all documents; the earliest document keeps a unit and it is removed everywhere
+else. Offsets are those of the original.
 """
 
 from __future__ import annotations
@@ -11,20 +12,25 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.llm.columns import apart, carried, restored
-from tillscope.session import ship_package
+from tillscope.session import scratch_path, ship_package
 
-# Words in a unit: long enough that only copied text repeats one, and half of the
-# passages of fifty words that are to be found.
+# Words in a block: long enough that only copied text repeats one, and half of the
+# passages of fifty words that are to be found. Any run of 2 * UNIT_WORDS - 2 words
+# holds a whole block, and a shared run loses all but UNIT_WORDS - 2 words at each end.
 UNIT_WORDS = 25
+# Words in a line or paragraph that is a unit of its own.
+MIN_LINE_WORDS = 10
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_ENDS = frozenset(".!?")
+_BREAK = re.compile("\n")
+_BASE = 0x9E3779B97F4A7C15
 # A document without an id ranks behind all others.
 _LAST = (1 << 63) - 1
 
@@ -37,32 +43,68 @@ def _mark(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def unit_starts(text: str, spans: list[tuple[int, int]]) -> Iterator[int]:
-    """Word numbers at which a line or a sentence starts."""
-    for n, (start, _) in enumerate(spans):
-        if not n:
-            yield 0
-            continue
-        end = spans[n - 1][1]
-        if text[end - 1] in _ENDS or "\n" in text[end:start]:
-            yield n
+def window_hashes(words: list[str], size: int, known: dict[str, int]) -> np.ndarray:
+    """A hash of every run of ``size`` words. ``known`` keeps those of words."""
+    if len(known) > 1 << 18:
+        known.clear()
+    for word in set(words).difference(known):
+        known[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+    each = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    powers = np.cumprod(np.full(len(words), _BASE, np.uint64))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(each * powers)))
+    inverse = np.cumprod(np.full(len(words) - size + 1, pow(_BASE, -1, 1 << 64), np.uint64))
+    hashes = (sums[size:] - sums[:-size]) * inverse
+    hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(_BASE)
+    return hashes ^ (hashes >> np.uint64(29))
 
 
-def units_of(text: str, size: int) -> Iterator[tuple[bytes, int, int]]:
+def anchors(hashes: np.ndarray, window: int) -> list[int]:
+    """Positions whose hash is the least of some ``window`` neighbours (winnowing).
+
+    Of equal hashes close together only as many stay as keep one in every window.
+    """
+    view = np.lib.stride_tricks.sliding_window_view(hashes, min(window, len(hashes)))
+    kept: list[int] = []
+    for at in np.unique(np.argmin(view, axis=1) + np.arange(len(view))).tolist():
+        while (
+            len(kept) > 1
+            and at - kept[-2] <= window
+            and hashes[kept[-2]] == hashes[kept[-1]] == hashes[at]
+        ):
+            kept.pop()
+        kept.append(at)
+    return kept
+
+
+def whole_lines(text: str, starts: list[int], least: int = MIN_LINE_WORDS) -> set[tuple[int, int]]:
+    """Word ranges of the lines and paragraphs (between blank lines) of ``least`` words."""
+    breaks = np.fromiter((m.start() for m in _BREAK.finditer(text)), np.int64)
+    places, times = np.unique(np.searchsorted(starts, breaks), return_counts=True)
+    found = set()
+    for at in (places, places[times > 1]):
+        bounds = [0, *at.tolist(), len(starts)]
+        found.update((a, b) for a, b in zip(bounds, bounds[1:]) if b - a >= least)
+    return found
+
+
+def units_of(text: str, size: int, known: dict[str, int]) -> Iterator[tuple[bytes, int, int]]:
     """``(digest, start, end)`` of every unit of a text, offsets in code points."""
     spans = [m.span() for m in _WORD.finditer(text)]
-    for n in unit_starts(text, spans):
-        if n + size > len(spans):
-            return
-        start, end = spans[n][0], spans[n + size - 1][1]
-        words = " ".join(_WORD.findall(text[start:end].lower()))
-        yield xxhash.xxh3_128_digest(words.encode()), start, end
+    words = [text[a:b].lower() for a, b in spans]
+    ranges = whole_lines(text, [a for a, _ in spans])
+    if len(words) >= size:
+        # A window below the size of a unit: neighbouring units overlap.
+        starts = anchors(window_hashes(words, size, known), size - 1)
+        ranges.update((n, n + size) for n in starts)
+    for a, b in sorted(ranges):
+        digest = xxhash.xxh3_128_digest(" ".join(words[a:b]).encode("utf-8", "surrogatepass"))
+        yield digest, spans[a][0], spans[b - 1][1]
 
 
 def hashed_units(docs: DataFrame, size: int = UNIT_WORDS) -> DataFrame:
     """``(h1, h2, doc, mark, start, end, again)`` for every unit.
 
-    ``again`` tells that the same document holds the unit earlier. A row is told
+    ``again`` tells that the unit stands earlier in the document, and apart. A row is told
     from others of the same id by a hash of its text (``mark``).
     """
     ship_package(docs.sparkSession)
@@ -70,17 +112,17 @@ def hashed_units(docs: DataFrame, size: int = UNIT_WORDS) -> DataFrame:
     types = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
         for batch in batches:
             rows: list[list] = [[] for _ in names]
             for doc, mark, text in zip(*[batch.column(c).to_pylist() for c in ("doc", "mark", "text")]):
-                seen = set()
-                for digest, start, end in units_of(text or "", size):
+                seen: dict[bytes, int] = {}
+                for digest, start, end in units_of(text or "", size, known):
                     values = (
                         int.from_bytes(digest[:8], "big", signed=True),
                         int.from_bytes(digest[8:], "big", signed=True),
-                        doc, mark, start, end, digest in seen,
+                        doc, mark, start, end, start >= seen.setdefault(digest, end),
                     )
-                    seen.add(digest)
                     for column, value in zip(rows, values):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types)], names)
@@ -101,7 +143,10 @@ def repeated_spans(docs: DataFrame, size: int = UNIT_WORDS) -> DataFrame:
     earliest document is an aggregate combined before the shuffle, so a passage in
     a third of all documents is no hot group; it comes back by a plain join.
     """
-    units = hashed_units(docs, size)
+    # Written once: hashing costs more than reading the units twice.
+    path = scratch_path(docs.sparkSession, "units")
+    hashed_units(docs, size).write.parquet(path)
+    units = docs.sparkSession.read.parquet(path)
     firsts = (
         units.groupBy(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"))
         .agg(F.min("doc").alias("kept_doc"), F.count(F.lit(1)).alias("n"))
