@@ -23,3 +23,16 @@ def test_a_passage_without_punctuation_is_found_mid_line(spark):
     after = _after(spark, texts)
     assert after[:20] == texts[:20]
     assert all(len(t.split()) <= 111 - 25 for t in after[20:])
+
+
+def test_no_run_of_fifty_words_is_left(spark):
+    rng = random.Random(2)
+    passages = [_words(rng, n) for n in (49, 50, 60, 75, 120, 121, 400)]
+    texts = [f"{_words(rng, 30)}. {p}. {_words(rng, 30)}" for p in passages * 2]
+    after = _after(spark, texts)
+    assert after[:7] == texts[:7]
+    for early, late in zip(after[:7], after[7:]):
+        words, own = early.split(), late.split()
+        runs = {tuple(words[n : n + 49]) for n in range(len(words))}
+        assert not any(tuple(own[n : n + 49]) in runs for n in range(len(own) - 48))
+        assert len(own) <= 60 + 2 * 23 + 2
