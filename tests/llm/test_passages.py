@@ -36,3 +36,15 @@ def test_no_run_of_fifty_words_is_left(spark):
         runs = {tuple(words[n : n + 49]) for n in range(len(words))}
         assert not any(tuple(own[n : n + 49]) in runs for n in range(len(own) - 48))
         assert len(own) <= 60 + 2 * 23 + 2
+
+
+def test_lines_and_paragraphs_shorter_than_a_block_are_units(spark):
+    rng = random.Random(3)
+    line, last = _words(rng, 22), _words(rng, 12)
+    paragraph = f"{_words(rng, 9)}\n{_words(rng, 9)}"
+    own = [[_words(rng, 40) for _ in range(3)] for _ in range(4)]
+    texts = [f"{a}\n{line}\n{b}\n\n{paragraph}\n\n{c}\n{last}" for a, b, c in own]
+    after = _after(spark, texts)
+    assert after[0] == texts[0]
+    for text, kept in zip(texts[1:], after[1:]):
+        assert kept == text.replace(line, "").replace(paragraph, "").replace(last, "")
