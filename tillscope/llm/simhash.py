@@ -338,7 +338,7 @@ def _frequent_shingles(whole: DataFrame, width: int) -> tuple[np.ndarray, np.nda
         .agg(F.count(F.lit(1)).alias("n"))
         .where("n > 2")
         .orderBy(F.desc("n"), "h")
-        .limit(1 << 15)
+        .limit(1 << 12)
         .collect()
     )
     hashes = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
@@ -405,16 +405,20 @@ def _not_ruled_out(pairs: DataFrame, sets: DataFrame, similarity: float) -> Data
     )
 
 
-def _rooted(rows: DataFrame, edges: DataFrame, turn: int = 0) -> DataFrame:
+def _rooted(rows: DataFrame, edges: DataFrame | None, turn: int = 0) -> DataFrame:
     """``rows`` with ``root``, of those shingles that still join several groups.
 
     ``top`` is the root and mark of one text of the shingle, another one each turn.
     """
-    roots = connected_components(edges)
-    rows = rows.join(roots, F.col("mark") == F.col("node"), "left").select(
-        "h", "mark", "n", "at", F.coalesce("root", "mark").alias("root")
-    )
-    rows = materialise(rows)
+    if edges is None:
+        rows = rows.withColumn("root", F.col("mark"))
+    else:
+        roots = connected_components(edges)
+        rows = materialise(
+            rows.join(roots, F.col("mark") == F.col("node"), "left").select(
+                "h", "mark", "n", "at", F.coalesce("root", "mark").alias("root")
+            )
+        )
     open_ = rows.groupBy("h").agg(
         F.min("root").alias("r"),
         F.max("root").alias("s"),
@@ -460,7 +464,7 @@ def similar_edges(whole: DataFrame, width: int, similarity: float) -> tuple[Data
             )
         )
 
-    edges = spark.createDataFrame([], "src long, dst long")
+    edges = None
     for turn in range(_ROUNDS):
         met = (
             _rooted(rows, edges, turn)
@@ -472,7 +476,7 @@ def similar_edges(whole: DataFrame, width: int, similarity: float) -> tuple[Data
         found = verified(best.select("best.a", "b"))
         if found.isEmpty():
             break
-        edges = edges.unionByName(found)
+        edges = found if edges is None else edges.unionByName(found)
     rooted = _rooted(rows, edges).drop("top")
     other = rooted.select(*[F.col(c).alias(f"{c}2") for c in rooted.columns])
     # What both sets can still share from a first common shingle on.
@@ -486,7 +490,8 @@ def similar_edges(whole: DataFrame, width: int, similarity: float) -> tuple[Data
         & (rest >= needed),
     )
     pairs = pairs.select(F.col("mark").alias("a"), F.col("mark2").alias("b")).distinct()
-    return signatures, edges.unionByName(verified(pairs))
+    found = verified(pairs)
+    return signatures, found if edges is None else edges.unionByName(found)
 
 
 def keep_representatives(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
