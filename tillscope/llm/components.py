@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.llm.columns import apart
-from tillscope.session import materialise
+from tillscope.session import scratch_path
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -30,20 +30,33 @@ def _to_least(edges: DataFrame, larger_only: bool) -> DataFrame:
     )
 
 
+def _written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a new table in the shared folder, read back.
+
+    Unlike a checkpoint, the table brings nothing of its history along: what the
+    optimiser keeps about a frame would otherwise grow from round to round.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """``(node, root)`` for the nodes of ``edges(src, dst)``, both long and not null.
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014) until
-    the edges no longer change; the root is the least node. Each round is written
-    to the checkpoint folder, so that a lost executor costs one round. An empty
-    edge table gives no rows; no end within ``max_rounds`` raises.
+    the edges no longer change; the root is the least node. Each step is written
+    to the shared folder, so that a lost executor costs one step and every round
+    plans alike. An empty edge table gives no rows; no end within ``max_rounds``
+    raises.
     """
-    current = materialise(
+    current = _written(
         edges.select(
             F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")
         )
         .where("src <> dst")
-        .distinct()
+        .distinct(),
+        "edges",
     )
     before = None
     for _ in range(max_rounds):
@@ -56,6 +69,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
             )
         before = tuple(mark)
         large = _to_least(_both_ways(current), larger_only=True).where("src <> dst").distinct()
+        large = _written(large, "large-star")
         small = _to_least(large, larger_only=False).where("src <> dst").distinct()
-        current = materialise(small)
+        current = _written(small, "small-star")
     raise RuntimeError(f"components have not settled after {max_rounds} rounds")

@@ -9,8 +9,7 @@ members are linked through the fingerprints around them (``_crowded_links``).
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tillscope.llm.columns import apart, carried, restored
 from tillscope.llm.components import connected_components
-from tillscope.session import materialise, scratch_path, ship_package
+from tillscope.session import materialise, ship_package
 
 # Fingerprint size, link distance, hash seed.
 BITS = 64
@@ -28,8 +27,6 @@ MAX_DISTANCE = 3
 SEED = 42
 
 _HALF = BITS // 2
-# Rounds that merge large groups of near copies before the rest is paired.
-_ROUNDS = 3
 
 
 def fingerprint(text: str | None, width: int, seed: int = SEED) -> int:
@@ -61,9 +58,10 @@ def fingerprint(text: str | None, width: int, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    """``(doc_id, fp)`` for every row; ``fp`` is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, width: int, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The long ``keys`` and ``fp`` of every row; ``fp`` is the fingerprint as a signed long."""
     ship_package(docs.sparkSession)
+    names = [*keys, "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,12 +71,12 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
                 batch.num_rows,
             )
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"]
+                [*map(batch.column, keys), pa.array(found.view(np.int64))], names
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, fp long"
-    )
+    return docs.select(
+        *[F.col(c).cast("long") for c in keys], F.col("text").cast("string")
+    ).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def _mask(position: Column) -> Column:
@@ -209,6 +207,16 @@ def links(values: DataFrame, crowd_size: int = 256) -> DataFrame:
     return sparse.unionByName(_crowded_links(crowd))
 
 
+def _grouped(classes: DataFrame) -> DataFrame:
+    """``classes(fp, ...)`` with the ``root`` of the component of each fingerprint."""
+    roots = connected_components(links(classes.select("fp")))
+    return materialise(
+        classes.join(roots, F.col("fp") == F.col("node"), "left").select(
+            *classes.columns, F.coalesce("root", "fp").alias("root")
+        )
+    )
+
+
 def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row of ``docs(doc_id, text)``.
 
@@ -220,321 +228,43 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     Repeated rows come back repeated.
     """
     marked = materialise(fingerprints(docs, width))
-    classes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(links(classes.select("fp")))
-    rooted = materialise(
-        classes.join(roots, F.col("fp") == F.col("node"), "left").select(
-            "fp", "least", F.coalesce("root", "fp").alias("root")
-        )
-    )
+    rooted = _grouped(materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least"))))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.select(apart(F.col("root")).alias("_root"), "component_id")
     labels = rooted.join(named, F.col("root") == F.col("_root")).select("fp", "component_id")
     return marked.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-def shingles(text: str | None, width: int) -> set[bytes]:
-    """The distinct word shingles of a text; fewer words form one shingle."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if len(words) <= width:
-        return {b" ".join(words)} if words else set()
-    return {b" ".join(words[n : n + width]) for n in range(len(words) - width + 1)}
-
-
-def _similar(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The ``pairs(a, b)`` of text marks whose shingle sets have that Jaccard similarity."""
-    wanted = pairs.select(F.col("a").alias("_m")).unionByName(
-        pairs.select(F.col("b").alias("_m"))
-    ).distinct()
-    texts = materialise(
-        docs.join(wanted, F.col("mark") == F.col("_m"), "left_semi")
-        .groupBy("mark")
-        .agg(F.first("text").alias("text"))
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for left, right in zip(batch.column("text_a"), batch.column("text_b")):
-                x, y = shingles(left.as_py(), width), shingles(right.as_py(), width)
-                both = len(x & y)
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return (
-        pairs.join(texts.select(F.col("mark").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(texts.select(F.col("mark").alias("b"), F.col("text").alias("text_b")), "b")
-        .select("a", "b", "text_a", "text_b")
-        .mapInArrow(run, "a long, b long")
-    )
-
-
-def shingle_hashes(text: str | None, width: int, known: dict[bytes, int]) -> np.ndarray:
-    """Distinct hashes of the word shingles of a text, in order; no words give one 0.
+def keep_representatives(docs: DataFrame, width: int = 5) -> DataFrame:
+    """``docs`` with one document of each component of ``near_duplicates``; all columns stay.
 
-    ``known`` keeps the hashes of words from one text to the next.
+    The document with the smallest id stays, rows without an id behind all others
+    and, among those, the one with the least hash of its text; of repeated rows one
+    stays. Null and empty texts are equal to each other and link like any other.
+    An empty table gives no rows.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(1, np.uint64)
-    if len(words) <= width:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
-    if len(known) > 1 << 18:
-        known.clear()
-    for word in set(words).difference(known):
-        known[word] = xxhash.xxh64_intdigest(word, SEED)
-    each = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    n = len(words) - width + 1
-    mixed = np.full(n, width, np.uint64)
-    for at in range(width):
-        mixed = (mixed ^ each[at : at + n]) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-    return np.unique(mixed)
-
-
-def parities(hashes: np.ndarray) -> bytes:
-    """One bit for each of at least as many cells as hashes: is their number there odd.
-
-    Each hash that only one of two sets holds changes one cell, so as many differ
-    at most. The number of cells is a power of two, and halves fold by XOR.
-    """
-    cells = max(64, 1 << int(len(hashes) - 1).bit_length())
-    at = (hashes & np.uint64(cells - 1)).astype(np.int64)
-    return np.packbits(np.bincount(at, minlength=cells).astype(np.uint8) & 1).tobytes()
-
-
-def may_be_similar(n: int, x: bytes, m: int, y: bytes, similarity: float) -> bool:
-    """False only if sets of ``n`` and ``m`` hashes cannot have that Jaccard similarity."""
-    most = (n + m) * (1 - similarity) / (1 + similarity) + 1e-6
-    if abs(n - m) > most:
-        return False
-    u, v = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    while len(u) > len(v):
-        u = u[: len(u) // 2] ^ u[len(u) // 2 :]
-    while len(v) > len(u):
-        v = v[: len(v) // 2] ^ v[len(v) // 2 :]
-    return int(np.unpackbits(u ^ v).sum()) <= most
-
-
-def _frequent_shingles(whole: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of the most frequent shingles in a sixteenth of the texts.
-
-    They steer the order of shingles only: any order gives the same pairs, but with
-    frequent ones last few texts meet in vain.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
-        for batch in batches:
-            for text in batch.column("text"):
-                found = shingle_hashes(text.as_py(), width, known).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(found)], ["h"])
-
-    rows = (
-        whole.where(F.pmod("mark", F.lit(16)) == 0)
-        .select("text")
-        .mapInArrow(run, "h long")
-        .groupBy("h")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where("n > 2")
-        .orderBy(F.desc("n"), "h")
-        .limit(1 << 12)
-        .collect()
-    )
-    hashes = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], np.array([r["n"] for r in rows], np.int64)[order]
-
-
-def _signatures(whole: DataFrame, width: int, similarity: float) -> DataFrame:
-    """``(doc, mark, n, cells, prefix)``: size, parities and rarest shingles of each text.
-
-    Shingles are ordered by frequency, then by hash. Two sets with the similarity
-    share one of the first ``n - ceil(similarity * n) + 1`` of both.
-    """
-    frequent, counts = _frequent_shingles(whole, width)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
-        for batch in batches:
-            sizes, cells, prefixes = [], [], []
-            for text in batch.column("text"):
-                hashes = shingle_hashes(text.as_py(), width, known)
-                n = len(hashes)
-                cells.append(parities(hashes))
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-                    weights = np.where(frequent[at] == hashes, counts[at], 0)
-                    hashes = hashes[np.argsort(weights, kind="stable")]
-                sizes.append(n)
-                prefixes.append(
-                    hashes[: n - math.ceil(similarity * n - 1e-6) + 1].view(np.int64)
-                )
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc"),
-                    batch.column("mark"),
-                    pa.array(sizes, pa.int32()),
-                    pa.array(cells, pa.binary()),
-                    pa.array(prefixes, pa.list_(pa.int64())),
-                ],
-                ["doc", "mark", "n", "cells", "prefix"],
-            )
-
-    return whole.mapInArrow(run, "doc long, mark long, n int, cells binary, prefix array<long>")
-
-
-def _not_ruled_out(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs(a, b)`` of marks that ``may_be_similar``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("n", "x", "m", "y")]
-            keep = [may_be_similar(*row, similarity) for row in zip(*columns)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = sets.select(F.col("mark").alias("a"), "n", F.col("cells").alias("x"))
-    right = sets.select(
-        F.col("mark").alias("b"), F.col("n").alias("m"), F.col("cells").alias("y")
-    )
-    return (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .select("a", "b", "n", "x", "m", "y")
-        .mapInArrow(run, "a long, b long")
-    )
-
-
-def _rooted(rows: DataFrame, edges: DataFrame | None, turn: int = 0) -> DataFrame:
-    """``rows`` with ``root``, of those shingles that still join several groups.
-
-    ``top`` is the root and mark of one text of the shingle, another one each turn.
-    """
-    if edges is None:
-        rows = rows.withColumn("root", F.col("mark"))
-    else:
-        roots = connected_components(edges)
-        rows = materialise(
-            rows.join(roots, F.col("mark") == F.col("node"), "left").select(
-                "h", "mark", "n", "at", F.coalesce("root", "mark").alias("root")
-            )
-        )
-    open_ = rows.groupBy("h").agg(
-        F.min("root").alias("r"),
-        F.max("root").alias("s"),
-        F.min(F.struct(F.xxhash64("mark", F.lit(turn)), "root", "mark")).alias("top"),
-    )
-    open_ = open_.where("r <> s").select(apart(F.col("h")).alias("_h"), "top")
-    return rows.join(open_, F.col("h") == F.col("_h")).drop("_h")
-
-
-def similar_edges(whole: DataFrame, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """``(signatures, edges)``: verified ``(src, dst)`` between marks of ``whole(doc, mark, text)``.
-
-    Every pair with the similarity is connected by the edges, directly or through
-    others: exactly, by a prefix filter. A few rounds first try each text against
-    one that it meets under many shingles, so that a large group is one component
-    before anything is paired. Then all texts of different
-    components that meet under a shingle of both prefixes, and whose sizes and
-    parities do not rule it out, are verified on whole texts.
-    """
-    spark = whole.sparkSession
-    path = scratch_path(spark, "signatures")
-    _signatures(whole, width, similarity).write.parquet(path)
-    signatures = spark.read.parquet(path)
-    sets = signatures.groupBy("mark").agg(F.first("n").alias("n"), F.first("cells").alias("cells"))
-    each = signatures.select("mark", "n", F.posexplode("prefix").alias("at", "h"))
-    shared = (
-        each.groupBy("h")
-        .agg(F.min("mark").alias("low"), F.max("mark").alias("high"))
-        .where("low <> high")
-        .select(apart(F.col("h")).alias("_h"))
-    )
-    rows = materialise(
-        each.join(shared, F.col("h") == F.col("_h"), "left_semi")
-        .select("h", "mark", "n", "at")
-        .distinct()
-    )
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = materialise(_not_ruled_out(materialise(pairs), sets, similarity))
-        return materialise(
-            _similar(pairs, whole, width, similarity).select(
-                F.col("a").alias("src"), F.col("b").alias("dst")
-            )
-        )
-
-    edges = None
-    for turn in range(_ROUNDS):
-        met = (
-            _rooted(rows, edges, turn)
-            .where("root <> top.root")
-            .groupBy(F.col("top.mark").alias("a"), F.col("mark").alias("b"))
-            .agg(F.count(F.lit(1)).alias("times"))
-        )
-        best = met.groupBy("b").agg(F.max(F.struct("times", "a")).alias("best"))
-        found = verified(best.select("best.a", "b"))
-        if found.isEmpty():
-            break
-        edges = found if edges is None else edges.unionByName(found)
-    rooted = _rooted(rows, edges).drop("top")
-    other = rooted.select(*[F.col(c).alias(f"{c}2") for c in rooted.columns])
-    # What both sets can still share from a first common shingle on.
-    rest = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
-    needed = (F.col("n") + F.col("n2")) * (similarity / (1 + similarity)) - 1e-6
-    pairs = rooted.join(
-        other,
-        (F.col("h") == F.col("h2"))
-        & (F.col("mark") < F.col("mark2"))
-        & (F.col("root") != F.col("root2"))
-        & (rest >= needed),
-    )
-    pairs = pairs.select(F.col("mark").alias("a"), F.col("mark2").alias("b")).distinct()
-    found = verified(pairs)
-    return signatures, found if edges is None else edges.unionByName(found)
-
-
-def keep_representatives(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one document of each group of near copies; all columns stay.
-
-    Near copies share ``similarity`` of their distinct ``width``-word shingles;
-    groups are the components of all such pairs (``similar_edges``). Equal texts
-    form one class before that.
-
-    The document with the smallest id stays, rows without an id behind all others;
-    of repeated rows one stays. Null and empty texts are equal to each other. An
-    empty table gives no rows.
-    """
-    ship_package(docs.sparkSession)
 
     def keyed(df: DataFrame) -> DataFrame:
-        text = F.coalesce(F.col("text"), F.lit(""))
+        text = F.coalesce(F.col("text").cast("string"), F.lit(""))
         rank = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-        return df.withColumns({"doc": rank, "mark": F.xxhash64(text)})
-
-    whole = keyed(docs.select("doc_id", "text")).select("doc", "mark", "text")
-    marked, edges = similar_edges(whole, width, similarity)
-    classes = marked.groupBy("mark").agg(F.min("doc").alias("least"))
-    roots = materialise(connected_components(edges))
-    grouped = classes.join(roots, F.col("mark") == F.col("node"), "left").select(
-        "mark", "least", F.coalesce("root", "mark").alias("root")
-    )
-    least = grouped.groupBy("root").agg(F.min(F.struct("least", "mark")).alias("stays"))
-    stays = least.select(F.col("stays.least").alias("doc"), F.col("stays.mark").alias("mark"))
-    rows = marked.groupBy("doc", "mark").agg(F.count(F.lit(1)).alias("n"))
-    leaving = materialise(
-        rows.join(stays, ["doc", "mark"], "left_anti").select(
-            F.col("doc").alias("_doc"), F.col("mark").alias("_mark")
+        return df.withColumns(
+            {"doc": rank, "m1": F.xxhash64(text), "m2": F.xxhash64(F.lit(1), text)}
         )
-    )
-    same = (F.col("doc") == F.col("_doc")) & (F.col("mark") == F.col("_mark"))
+
+    key = ["doc", "m1", "m2"]
+    whole = keyed(docs.select("doc_id", "text")).select(*key, "text")
+    marked = materialise(fingerprints(whole, width, key))
+    row = F.struct(*key)
+    rooted = _grouped(materialise(marked.groupBy("fp").agg(F.min(row).alias("first"))))
+    stays = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    stays = materialise(stays.select(*[F.col(c).alias(f"_{c}") for c in key]))
+    same = (F.col("doc") == F.col("_doc")) & (F.col("m1") == F.col("_m1")) & (F.col("m2") == F.col("_m2"))
     used = ["doc_id", "text"]
-    kept = keyed(carried(docs, used)).join(leaving, same, "left_anti")
-    twice = materialise(
-        rows.where("n > 1").select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"))
-    )
+    kept = keyed(carried(docs, used)).join(stays, same, "left_semi")
+    twice = marked.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    twice = materialise(twice.select(*[F.col(c).alias(f"_{c}") for c in key]))
     if not twice.isEmpty():
         kept = kept.join(twice, same, "left_anti").unionByName(
-            kept.join(twice, same, "left_semi").dropDuplicates(["doc", "mark"])
+            kept.join(twice, same, "left_semi").dropDuplicates(key)
         )
     return restored(kept, docs.columns, used, {})
