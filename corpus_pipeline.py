@@ -38,8 +38,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate group: the one with the smallest id."""
-    return simhash.keep_representatives(docs)
+    """Keep one document of each SimHash component: the one with the smallest id."""
+    return simhash.keep_representatives(docs, width=3)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
