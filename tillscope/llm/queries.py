@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillscope.llm import (
+    alignment,
     bpe,
     line_dedup,
+    online_packing,
     packing,
+    phrases,
     quality_rules,
     simhash,
     substring_dedup,
@@ -164,3 +167,76 @@ def op10_token_counts(spark: SparkSession, root: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, root, "labels")))
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, root: str) -> DataFrame:
+    left, right = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    return alignment.align(table(spark, root, "documents"), left, right)
+
+
+@query("op12_online_packing")
+def op12_online_packing(spark: SparkSession, root: str) -> DataFrame:
+    path = tokenizer_path("word_bpe_49k.json")
+    return online_packing.pack_online(table(spark, root, "documents"), path, end=2)
+
+
+@query(
+    "op13_collocations",
+    """
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[.,;:!?\n\x0B\f\r]')) AS piece
+        FROM documents WHERE text IS NOT NULL
+    ),
+    numbered AS (SELECT row_number() OVER () AS id, lang, piece FROM pieces),
+    split AS (SELECT id, lang, string_split_regex(piece, '[ \\t]+') AS ws FROM numbered),
+    each AS (SELECT id, lang, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM split),
+    words AS (
+        SELECT lang, w AS w1, lead(w, 1) OVER own AS w2, lead(w, 2) OVER own AS w3
+        FROM each WHERE w <> '' WINDOW own AS (PARTITION BY id ORDER BY pos)
+    ),
+    grams AS (
+        SELECT lang, 1 AS k, w1 AS phrase FROM words
+        UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM words WHERE w2 IS NOT NULL
+        UNION ALL
+        SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM words WHERE w3 IS NOT NULL
+    ),
+    f AS (SELECT lang, k, phrase, count(*) AS n FROM grams GROUP BY ALL),
+    totals AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+    candidates AS (
+        SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w
+        FROM f WHERE k > 1 AND n >= 10
+    ),
+    cuts AS (
+        SELECT c.lang, c.k, c.phrase, c.a, i, l.n AS l, r.n AS r,
+            CAST(1000000 * CAST(c.a AS HUGEINT) * c.a // (CAST(l.n AS HUGEINT) * r.n) AS BIGINT)
+                AS score
+        FROM candidates c
+        JOIN (VALUES (1), (2)) AS t(i) ON i < c.k
+        JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : i], ' ')
+        JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[i + 1 : c.k], ' ')
+    ),
+    weakest AS (
+        SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) AS place FROM cuts
+    ),
+    longer AS (
+        SELECT lang, phrase, max(a) AS most FROM (
+            SELECT lang, array_to_string(w[1 : 2], ' ') AS phrase, a FROM candidates WHERE k = 3
+            UNION ALL
+            SELECT lang, array_to_string(w[2 : 3], ' '), a FROM candidates WHERE k = 3
+        ) GROUP BY ALL
+    ),
+    ranked AS (
+        SELECT x.*, row_number() OVER (
+            PARTITION BY x.lang ORDER BY x.score DESC, x.a DESC, encode(x.phrase)) AS rank
+        FROM weakest x LEFT JOIN longer y ON x.lang = y.lang AND x.phrase = y.phrase
+        WHERE place = 1 AND (y.most IS NULL OR 100 * y.most < 50 * x.a)
+    )
+    SELECT ranked.lang, rank, phrase, a, l, r, totals.n, score
+    FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """,
+)
+def op13_collocations(spark: SparkSession, root: str) -> DataFrame:
+    return phrases.collocations(table(spark, root, "documents"))
