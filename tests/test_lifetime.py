@@ -216,3 +216,21 @@ def test_fit_marks_parameters_on_the_edge(spark):
     rng = np.random.default_rng(5)
     df = spark.createDataFrame(_purchases(rng, 2000, np.full(2000, 0.1), np.full(2000, 99.0)))
     assert fitting.fit_bgnbd(df).first()["at_edge"]
+
+
+def test_spend_density_equals_direct_kernel_sums(spark):
+    rng = np.random.default_rng(6)
+    spent = np.concatenate((rng.gamma(4, 30, 400), rng.normal(400, 20, 200)))
+    rows = [(str(n), 1 + n % 3, float(v)) for n, v in enumerate(spent)] + [("no repeats", 0, 9e9)]
+    history = spark.createDataFrame(rows, "cust string, x long, m_x double")
+    found = lifetime.spend_density(history, 40, 4096).orderBy("point").collect()
+    h = 1.06 * spent.std(ddof=1) * len(spent) ** -0.2
+    for row in found:
+        away = (row["value"] - spent) / h
+        direct = np.exp(-0.5 * away**2).sum() / (len(spent) * h * np.sqrt(2 * np.pi))
+        assert row["density"] == pytest.approx(direct, rel=1e-5)
+    assert (found[0]["value"], found[-1]["value"]) == (spent.min(), pytest.approx(spent.max()))
+    step = found[1]["value"] - found[0]["value"]
+    assert 0.9 < sum(r["density"] for r in found) * step < 1  # some mass lies beyond the ends
+    assert lifetime.spend_density(history.limit(1)).isEmpty()
+    assert lifetime.spend_density(history.limit(0)).isEmpty()

@@ -57,3 +57,14 @@ def test_entry_works_without_the_corpus_part(data, tmp_path):
     )
     found = _run(code, tmp_path)
     assert found.stdout.strip().endswith("done"), found.stderr[-2000:]
+
+
+def test_entry_works_without_what_the_corpus_part_needs(tmp_path):
+    code = "import sys\nsys.modules['tokenizers'] = None\nsys.modules['xxhash'] = None\n"
+    code += _SESSION.format(root=ROOT).split("from pyspark.sql")[0] + (
+        "assert 'rfm_table' in e.queries() and 'pipeline' not in e.queries()\n"
+        "assert not any(name.startswith('op') for name in e.queries())\n"
+        "print('done')"
+    )
+    found = _run(code, tmp_path)
+    assert found.stdout.strip().endswith("done"), found.stderr[-2000:]

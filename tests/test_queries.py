@@ -23,6 +23,10 @@ def test_every_check_has_a_query():
 
 def test_iterative_queries_have_no_sql():
     assert set(QUERIES) - set(ORACLES) == {
+        "clu_ward_clusters",
+        "clu_ward_gain",
+        "clu_ward_profile",
+        "clu_ward_tree",
         "clv_bgnbd_fit",
         "clv_gg_fit",
         "clv_pipeline_fitted",

@@ -146,3 +146,47 @@ def hyp2f1(a: Column, b: Column, c: Column, z: Column) -> Column:
     if session is not None:
         ship_package(session)
     return _hyp2f1(*[v.cast("double") for v in (a, b, c, z)])
+
+
+# Steps of the continued fraction; it needs about the root of the smaller degrees of freedom.
+_BETA_STEPS = 400
+
+
+def _log_incomplete_beta(a: Column, b: Column, x: Column, rest: Column) -> Column:
+    """ln I_x(a, b) for x below (a + 1) / (a + b + 2); ``rest`` is 1 - x.
+
+    Lentz' form of the continued fraction, a fixed number of steps.
+    """
+    both = a + b
+
+    def step(state: Column, n: Column) -> Column:
+        m = n.cast("double")
+        even = m * (b - m) * x / ((a - 1 + 2 * m) * (a + 2 * m))
+        d = 1 / (1 + even * state["d"])
+        c = 1 + even / state["c"]
+        half = state["h"] * d * c
+        odd = -(a + m) * (both + m) * x / ((a + 2 * m) * (a + 1 + 2 * m))
+        d2 = 1 / (1 + odd * d)
+        c2 = 1 + odd / c
+        return F.struct(c2.alias("c"), d2.alias("d"), (half * d2 * c2).alias("h"))
+
+    first = 1 / (1 - both * x / (a + 1))
+    start = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h"))
+    steps = F.sequence(F.lit(1), F.lit(_BETA_STEPS))
+    fraction = F.aggregate(steps, start, step, lambda s: s["h"])
+    return a * F.log(x) + b * F.log(rest) - log_beta(a, b) - F.log(a) + F.log(fraction)
+
+
+def log_f_tail(f: Column, df_between: Column, df_within: Column) -> Column:
+    """ln of the chance that an F variable exceeds ``f``; null where a figure is null or f < 0.
+
+    The regularised incomplete beta function, through the tail whose continued
+    fraction is short. In logarithms, so that tails below 1e-308 keep their size.
+    """
+    a, b = df_within.cast("double") / 2, df_between.cast("double") / 2
+    top = df_between * f
+    x, rest = df_within / (df_within + top), top / (df_within + top)
+    direct = _log_incomplete_beta(a, b, x, rest)
+    other = F.log1p(-F.exp(_log_incomplete_beta(b, a, rest, x)))
+    tail = F.when(x < (a + 1) / (a + b + 2), direct).otherwise(other)
+    return F.when(f == 0, F.lit(0.0)).when(f > 0, tail)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillscope.operators import baskets, margins, rules
+from tillscope.operators import baskets, level_mining, margins, rules
 from tillscope.operators.quantiles import exact_quantiles
 from tillscope.plans.registry import query, rounded
 from tillscope.plans.test_tables import item_margins, order_lines
@@ -129,6 +129,19 @@ def mba_frequent_itemsets(spark, root):
     )
 
 
+@query(
+    "mba_itemsets_bounded",
+    sql("groups", "SELECT array_to_string(items, ',') AS items, len(items) AS size, count "
+        "FROM itemsets", **itemset_blocks("groups", GROUP_SUPPORT, 3)),
+)
+def mba_itemsets_bounded(spark, root):
+    """Sets of three items at most, mined with that limit."""
+    mined = level_mining.mine_levels(_pairs(spark, root, "product_group_level_1"), GROUP_SUPPORT, 3)
+    return mined.table.select(
+        F.array_join("items", ",").alias("items"), F.size("items").cast("long").alias("size"), "count"
+    )
+
+
 @query("mba_rules", sql("items", _FLAT + "rules", **_ITEM_RULES))
 def mba_rules(spark, root):
     return _flat(_item_rules(spark, root))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillscope.operators import clustering
+from tillscope.operators import agglomeration, cluster_choice, clustering
 from tillscope.plans.registry import query, rounded
 from tillscope.plans.views import ANALYSIS_DATE, quantile, sql
 from tillscope.session import materialise
@@ -337,3 +337,223 @@ def clu_alt_linkage(spark, root):
         clustering.divisive_clusters(base),
         clustering.lloyd_clusters(base, _SEEDS, _ROUNDS),
     )
+
+
+# Merge trees and a second linkage. Money without the noise of sums, so that both engines see equal boxes.
+_CENTS = {
+    **_INLIERS,
+    "cents": "SELECT customer_id, recency, frequency, round(monetary, 4) AS monetary FROM inliers",
+}
+_LEVELS, _BOUND = agglomeration.LEVELS, agglomeration.BOUND
+
+
+def _cents(spark, root):
+    return materialise(rounded(_inliers(spark, root), monetary=4))
+
+
+def _feature_blocks() -> dict[str, str]:
+    numbers = range(len(_FEATURES))
+    side = 1 << _LEVELS
+    place = ", ".join(
+        f"least(CAST(floor(coalesce(({f} - lo{i}) / nullif(hi{i} - lo{i}, 0), 0) * {side}) AS BIGINT), "
+        f"{side - 1}) AS q{i}, {f} - lo{i} AS x{i}"
+        for i, f in enumerate(_FEATURES)
+    )
+    bounds = ", ".join(f"min({f}) AS lo{i}, max({f}) AS hi{i}" for i, f in enumerate(_FEATURES))
+    up = ", ".join(f"q{i} >> ({_LEVELS} - level) AS p{i}" for i in numbers)
+    sums = ", ".join(f"sum(x{i}) AS s{i}, sum(x{i} * x{i}) AS sq{i}" for i in numbers)
+    spread = " + ".join(f"(sq{i} - s{i} * s{i} / n)" for i in numbers)
+    around = " AND ".join(f"c.p{i} >> 1 = a.p{i}" for i in numbers)
+    return {
+        "box": f"SELECT {bounds} FROM cents",
+        "placed": f"SELECT {place} FROM cents CROSS JOIN box",
+        "sums": f"SELECT CAST(level AS BIGINT) AS level, {up}, count(*) AS n, {sums} "
+        f"FROM placed CROSS JOIN range({_LEVELS + 1}) t(level) GROUP BY ALL",
+        "cells": f"SELECT *, CASE WHEN n = 1 OR level = {_LEVELS} THEN 0 ELSE greatest({spread}, 0) END "
+        "AS scatter FROM sums",
+        "nested": "SELECT c.*, coalesce(a.scatter, 'inf'::DOUBLE) AS around FROM cells c "
+        f"LEFT JOIN cells a ON c.level = a.level + 1 AND {around}",
+        "limits": "SELECT i, (SELECT max(scatter) FROM cells) / pow(2, i) AS allowed "
+        f"FROM range({agglomeration.HALVINGS + 1}) t(i)",
+        "chosen": "SELECT max_by(allowed, i) AS allowed FROM (SELECT i, any_value(allowed) AS allowed "
+        "FROM limits JOIN nested ON scatter <= allowed AND around > allowed "
+        f"GROUP BY i HAVING count(*) <= {_BOUND})",
+        "features": "SELECT n.* FROM nested n CROSS JOIN chosen WHERE CASE "
+        f"WHEN (SELECT count(*) FROM cells WHERE level = {_LEVELS}) <= {_BOUND} "
+        f"THEN level = {_LEVELS} ELSE scatter <= allowed AND around > allowed END",
+    }
+
+
+@query(
+    "clu_features",
+    sql("customers", "SELECT level, p0, p1, p2, n, "
+        + ", ".join(f"round(lo{i} * n + s{i}, 4) AS sum_{f}" for i, f in enumerate(_FEATURES))
+        + " FROM features CROSS JOIN box", **_CENTS, **_feature_blocks()),
+)
+def clu_features(spark, root):
+    """The clustering features that the merges start from."""
+    found = agglomeration.clustering_features(_cents(spark, root))
+    return found.select(
+        F.col("level").cast("long").alias("level"),
+        *[F.col("place")[i].alias(f"p{i}") for i in range(len(_FEATURES))],
+        "n",
+        *[F.round(F.col("mean")[i] * F.col("n"), 4).alias(f"sum_{f}") for i, f in enumerate(_FEATURES)],
+    )
+
+
+def _tree(spark, root):
+    features = materialise(agglomeration.clustering_features(_cents(spark, root)))
+    return agglomeration.merge_tree(features)
+
+
+@query("clu_ward_tree")
+def clu_ward_tree(spark, root):
+    """The merge tree: the nodes joined at each step, the height and the customers below."""
+    return _tree(spark, root)
+
+
+@query("clu_ward_gain")
+def clu_ward_gain(spark, root):
+    """The last ten merge heights over the sum of all before."""
+    return agglomeration.merge_gain(_tree(spark, root))
+
+
+@query("clu_ward_clusters")
+def clu_ward_clusters(spark, root):
+    """The tree cut at four clusters, for every customer."""
+    labelled = agglomeration.ward_clusters(_cents(spark, root))
+    return labelled.select("customer_id", "cluster")
+
+
+@query("clu_ward_profile")
+def clu_ward_profile(spark, root):
+    """Size and feature means of the four Ward clusters."""
+    labelled = materialise(agglomeration.ward_clusters(_cents(spark, root)))
+    return clustering.cluster_sizes(labelled).join(clustering.cluster_profile(labelled), "cluster")
+
+
+def _farthest_blocks(k: int = 4) -> dict[str, str]:
+    means = ", ".join(f"avg({f}) AS {f}" for f in _FEATURES)
+    blocks = {
+        "reach0": f"SELECT c.*, sqrt({_DISTANCE}) AS reach FROM cents c "
+        f"CROSS JOIN (SELECT {means} FROM cents) m"
+    }
+    for i in range(1, k + 1):
+        blocks[f"far{i}"] = (
+            f"SELECT {', '.join(_FEATURES)} FROM reach{i - 1} ORDER BY reach DESC, customer_id LIMIT 1"
+        )
+        seen = " UNION ALL ".join(f"SELECT {j} AS number, * FROM far{j}" for j in range(1, i + 1))
+        blocks[f"reach{i}"] = (
+            f"SELECT c.customer_id, {', '.join(f'c.{f}' for f in _FEATURES)}, "
+            f"min(sqrt({_DISTANCE})) AS reach, CAST(arg_min(m.number, (sqrt({_DISTANCE}), m.number)) "
+            f"AS BIGINT) AS cluster FROM cents c CROSS JOIN ({seen}) m GROUP BY ALL"
+        )
+    blocks["spanned"] = f"SELECT * FROM reach{k}"
+    return blocks
+
+
+@query(
+    "clu_farthest_first",
+    sql("customers", "SELECT cluster, count(*) AS customers, round(max(reach), 4) AS radius, "
+        "round(avg(reach), 4) AS mean_distance FROM spanned GROUP BY cluster",
+        **_CENTS, **_farthest_blocks()),
+)
+def clu_farthest_first(spark, root):
+    """The complete-linkage companion: four clusters of small diameter."""
+    labelled = cluster_choice.farthest_first(_cents(spark, root))
+    return rounded(cluster_choice.linkage_radii(labelled), radius=4, mean_distance=4)
+
+
+@query(
+    "clu_linkage_crosstab",
+    sql("customers", "SELECT f.cluster, l.cluster AS other_cluster, count(*) AS customers "
+        "FROM spanned f JOIN labelled l USING (customer_id) GROUP BY ALL",
+        **{**_LLOYD, "cents": _CENTS["cents"], **_farthest_blocks()}),
+)
+def clu_linkage_crosstab(spark, root):
+    """Customers by farthest-first cluster and fixed Lloyd cluster."""
+    return clustering.cross_tab(
+        cluster_choice.farthest_first(_cents(spark, root)), _lloyd(spark, root)
+    )
+
+
+_GAP_KS, _GAP_DRAWS = range(1, 7), 4
+
+
+def _gap_blocks() -> dict[str, str]:
+    prime, by_draw = cluster_choice._PRIME, cluster_choice._BY_DRAW
+
+    def drawn(f: str, i: int) -> str:
+        mixed = (
+            f"((CAST(customer_id AS BIGINT) % {prime}) * {cluster_choice._BY_ID[i]} "
+            f"+ (draw + 1) * {by_draw + i}) % {prime}"
+        )
+        cubed = f"(({mixed}) * ({mixed}) % {prime}) * ({mixed}) % {prime}"
+        return (
+            f"CASE WHEN draw = 0 THEN CAST({f} AS DOUBLE) ELSE "
+            f"lo{i} + (hi{i} - lo{i}) * (({cubed}) / {float(prime)}) END AS {f}"
+        )
+
+    names = list(_FEATURES)
+    blocks = {
+        "box": "SELECT " + ", ".join(
+            f"CAST(min({f}) AS DOUBLE) AS lo{i}, CAST(max({f}) AS DOUBLE) AS hi{i}"
+            for i, f in enumerate(names)
+        ) + " FROM cents",
+        "pts": "SELECT customer_id, draw, " + ", ".join(drawn(f, i) for i, f in enumerate(names))
+        + f" FROM cents CROSS JOIN box CROSS JOIN range({_GAP_DRAWS + 1}) t(draw)",
+        "g0": "SELECT draw, k, cluster, " + ", ".join(
+            f"lo_{f} + (2 * cluster - 1) / (2.0 * k) * (hi_{f} - lo_{f}) AS {f}" for f in names
+        ) + " FROM (SELECT draw, " + ", ".join(f"min({f}) AS lo_{f}, max({f}) AS hi_{f}" for f in names)
+        + " FROM pts GROUP BY draw) CROSS JOIN (SELECT k, unnest(range(1, k + 1)) AS cluster "
+        f"FROM range({_GAP_KS.start}, {_GAP_KS.stop}) t(k))",
+    }
+    for i in range(_ROUNDS + 1):
+        blocks[f"b{i}"] = f"""
+            SELECT c.customer_id, c.draw, m.k, any_value(c.recency) AS recency,
+                   any_value(c.frequency) AS frequency, any_value(c.monetary) AS monetary,
+                   min({_DISTANCE}) AS least, arg_min(m.cluster, ({_DISTANCE}, m.cluster)) AS cluster
+            FROM pts c JOIN g{i} m ON m.draw = c.draw GROUP BY c.customer_id, c.draw, m.k"""
+        if i < _ROUNDS:
+            blocks[f"g{i + 1}"] = _centers_sql(f"g{i}", f"b{i}", "draw, k, cluster")
+    blocks["logs"] = f"SELECT draw, k, ln(sum(least)) AS w FROM b{_ROUNDS} GROUP BY draw, k"
+    blocks["gaps"] = f"""
+        SELECT k, any_value(w) FILTER (draw = 0) AS log_within, avg(w) FILTER (draw > 0) AS expected,
+               avg(w) FILTER (draw > 0) - any_value(w) FILTER (draw = 0) AS gap,
+               stddev_pop(w) FILTER (draw > 0) * sqrt(1 + 1.0 / {_GAP_DRAWS}) AS spread
+        FROM logs GROUP BY k"""
+    blocks["marked"] = """
+        SELECT *, gap >= lead(gap) OVER (ORDER BY k) - lead(spread) OVER (ORDER BY k) AS good FROM gaps"""
+    return blocks
+
+
+@query(
+    "clu_gap_statistic",
+    sql("customers", "SELECT k, round(log_within, 6) AS log_within, round(expected, 6) AS expected, "
+        "round(gap, 6) AS gap, round(spread, 6) AS spread, "
+        "k = coalesce((SELECT min(k) FROM marked WHERE good), (SELECT max(k) FROM marked)) AS best "
+        "FROM marked", **_CENTS, **_gap_blocks()),
+)
+def clu_gap_statistic(spark, root):
+    """How much tighter the clusters are than those of uniform draws, by their number."""
+    found = cluster_choice.gap_statistic(
+        _cents(spark, root), list(_GAP_KS), _GAP_DRAWS, _ROUNDS, F.col("customer_id").cast("long")
+    )
+    return rounded(found, log_within=6, expected=6, gap=6, spread=6)
+
+
+_THREE = (1 / 6, 0.5, 5 / 6)
+
+
+@query(
+    "clu_anova_p",
+    sql("customers", "SELECT variable, df_between, df_within, "
+        "round(df_within / 2 * log10(df_within / (df_within + 2 * f_value)), 5) AS log10_p "
+        f"FROM ({_anova_sql().replace('FROM labelled)', 'FROM labelled_three_)')})",
+        **_INLIERS, **_lloyd_blocks(_THREE, "_three_")),
+)
+def clu_anova_p(spark, root):
+    """P-values of the analysis of variance of three clusters, where the tail has a closed form."""
+    labelled = clustering.lloyd_clusters(_inliers(spark, root), _THREE, _ROUNDS)
+    table = cluster_choice.anova_with_p(labelled)
+    return table.select("variable", "df_between", "df_within", F.round("log10_p", 5).alias("log10_p"))

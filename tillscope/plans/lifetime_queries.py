@@ -337,6 +337,30 @@ def clv_spend_distribution(spark, root):
     )
 
 
+@query(
+    "clv_spend_density",
+    sql(
+        "cbs",
+        "SELECT point, round(value, 6) AS value, round(1e6 * sum(w * exp(-0.5 * "
+        "pow((value - low - node * step) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 7) "
+        "AS per_million FROM (SELECT point, low + point * (high - low) / 63 AS value, low, step, h, n "
+        "FROM range(64) t(point) CROSS JOIN spread) CROSS JOIN nodes GROUP BY point, value",
+        spread="SELECT min(m_x) AS low, max(m_x) AS high, (max(m_x) - min(m_x)) / 512 AS step, "
+        "1.06 * stddev_samp(m_x) * pow(count(*), -0.2) AS h, count(*) AS n FROM cbs WHERE x > 0",
+        cells="SELECT (m_x - low) / step AS place, least(CAST(floor((m_x - low) / step) AS BIGINT), 511) "
+        "AS node FROM cbs CROSS JOIN spread WHERE x > 0",
+        nodes="SELECT node, sum(w) AS w FROM (SELECT node, 1 - (place - node) AS w FROM cells "
+        "UNION ALL SELECT node + 1, place - node FROM cells) GROUP BY node",
+    ),
+)
+def clv_spend_density(spark, root):
+    """The smoothed curve of observed mean sales."""
+    curve = lifetime.spend_density(_history(spark, root))
+    return curve.select(
+        "point", F.round("value", 6).alias("value"), F.round(F.col("density") * 1e6, 7).alias("per_million")
+    )
+
+
 _MEANS = "list(m_x ORDER BY m_x)"
 
 

@@ -128,18 +128,20 @@ def itemset_blocks(source: str, support: float, max_length: int) -> dict[str, st
             (SELECT item FROM {source} GROUP BY item HAVING count(*) >= {threshold})""",
         "n_all": f"SELECT count(DISTINCT order_id) AS n FROM {source}",
     }
+    blocks["held1"] = "SELECT order_id, [item] AS items, item AS last FROM frequent"
     levels = []
     for length in range(1, max_length + 1):
-        tables = [f"t{i}" for i in range(length)]
-        joins = "frequent t0" + "".join(
-            f" JOIN frequent t{i} ON t{i}.order_id = t0.order_id AND t{i}.item > t{i - 1}.item"
-            for i in range(1, length)
-        )
-        items = ", ".join(f"{t}.item" for t in tables)
-        levels.append(
-            f"SELECT [{items}] AS items, count(*) AS count FROM {joins} "
-            f"GROUP BY {items} HAVING count(*) >= {threshold}"
+        if length > 1:
+            # Only sets whose first items are frequent together can be.
+            blocks[f"held{length}"] = f"""
+                SELECT h.order_id, list_append(h.items, f.item) AS items, f.item AS last
+                FROM held{length - 1} h JOIN level{length - 1} l ON l.items = h.items
+                JOIN frequent f ON f.order_id = h.order_id AND f.item > h.last"""
+        blocks[f"level{length}"] = (
+            f"SELECT items, count(*) AS count FROM held{length} "
+            f"GROUP BY items HAVING count(*) >= {threshold}"
         )
+        levels.append(f"SELECT * FROM level{length}")
     blocks["itemsets"] = " UNION ALL ".join(levels)
     return blocks
 
