@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tillscope.llm.chunks import chunk_id, entries, squeezed, unsqueezed, written
 from tillscope.llm.columns import apart
+from tillscope.operators.ordering import row_index
 from tillscope.session import materialise, ship_package
 
 LEAST = 10
@@ -28,7 +29,7 @@ SHARE = 50
 TOP = 2000
 
 # Three positions in a chunk's dictionary fit 63 bits.
-_CHUNK_WORDS = 1 << 20
+_CHUNK_WORDS = (1 << 21) - 8
 _CONTEXT = 2
 _BATCH = 1 << 16
 _SALT = 64
@@ -194,6 +195,8 @@ def _phrase_counts(chunks: DataFrame, vocabulary: DataFrame, least: int) -> Data
         .groupBy("chunk")
         .cogroup(known.groupBy("of"))
         .applyInArrow(grams, "w1 long, w2 long, w3 long, n long")
+        # A chunk's phrases are summed and in order: dealt out as they are, they pack well.
+        .repartition("w1", "w2", "w3")
         .groupBy("w1", "w2", "w3")
         .agg(F.sum("n").alias("n"))
         .where(F.col("n") >= least)
@@ -297,15 +300,12 @@ def collocations(
     count again; an empty table gives no rows; other columns are not read.
     """
     if least < 1 or not _CONTEXT < chunk_words <= _CHUNK_WORDS:
-        raise ValueError("least must be 1 or more, and chunk_words from 3 to 1 << 20")
+        raise ValueError("least must be 1 or more, and chunk_words from 3 to (1 << 21) - 8")
     chunks = word_chunks(docs, chunk_words)
     counted = materialise(word_counts(chunks).where(F.col("n") >= least))
     totals = entries(chunks, "lang", "times").groupBy("lang").agg(F.sum("times").alias("n"))
-    # Ids rise with language and word, and are written once.
-    vocabulary = written(
-        counted.orderBy("lang", "word").withColumn("id", F.monotonically_increasing_id() + 1),
-        "vocabulary",
-    )
+    # Ids are 1, 2, 3, ... by language and word, and are written once.
+    vocabulary = written(row_index(counted, ["lang", "word"], "id"), "vocabulary")
     phrases = materialise(_phrase_counts(chunks, vocabulary, least))
     zero = F.lit(0).cast("long")
     words = vocabulary.select(F.col("id").alias("x"), zero.alias("y"), zero.alias("z"), "n")
