@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,44 @@ def log_gamma(z: Column) -> Column:
     return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + tail - F.log(shift)
 
 
+class Derivatives(NamedTuple):
+    """Derivatives of a row's log-likelihood, on top of columns shared between them.
+
+    ``steps`` are added one after the other; ``second`` is the upper triangle by rows.
+    """
+
+    steps: list[dict[str, Column]]
+    first: list[Column]
+    second: list[list[Column]]
+
+
+def digamma(z: Column) -> Column:
+    """The derivative of ln Gamma at z > 0: the series at z + 8, shifted back."""
+    y = z + 8
+    inv2 = 1 / (y * y)
+    tail = inv2 * (
+        1 / 12
+        - inv2 * (1 / 120 - inv2 * (1 / 252 - inv2 * (1 / 240 - inv2 * (1 / 132 - inv2 * (691 / 32760)))))
+    )
+    shift = 1 / z
+    for i in range(1, 8):
+        shift = shift + 1 / (z + i)
+    return F.log(y) - 0.5 / y - tail - shift
+
+
+def trigamma(z: Column) -> Column:
+    """The second derivative of ln Gamma at z > 0."""
+    y = z + 8
+    inv2 = 1 / (y * y)
+    tail = (1 / y) * inv2 * (
+        1 / 6 - inv2 * (1 / 30 - inv2 * (1 / 42 - inv2 * (1 / 30 - inv2 * (5 / 66 - inv2 * (691 / 2730)))))
+    )
+    shift = 1 / (z * z)
+    for i in range(1, 8):
+        shift = shift + 1 / ((z + i) * (z + i))
+    return 1 / y + 0.5 * inv2 + tail + shift
+
+
 def log_rising(z: Column, n: Column) -> Column:
     """ln of the rising factorial z (z+1) ... (z+n-1)."""
     return log_gamma(z + n) - log_gamma(z)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillscope.functions import bgnbd, pnbd
-from tillscope.operators import fitting, lifetime
+from tillscope.operators import fitting, lifetime, newton
 from tillscope.plans import pipelines
 from tillscope.plans.registry import query, rounded
 from tillscope.plans.views import CUTOFF, MAX_DAYS, quantile, sql
@@ -277,6 +277,47 @@ def clv_gg_loglik(spark, root):
     return _scores(data, "spend", lifetime.spend_log_likelihood, None)
 
 
+def _score_sql(params: dict, formula: str, rows: str) -> str:
+    """Mean slope by the logarithm of each parameter, as a central difference of the formula."""
+    parts = []
+    for name in params:
+        for side, sign in (("up", 1), ("down", -1)):
+            moved = {**params, name: params[name] * (1 + sign * 1e-4)}
+            values = ", ".join(f"{v!r}::DOUBLE AS {k}" for k, v in moved.items())
+            parts.append(
+                f"SELECT '{name}' AS parameter, '{side}' AS side, avg({formula}) AS ll "
+                f"FROM {rows} CROSS JOIN (SELECT {values})"
+            )
+    return sql(
+        "cbs",
+        "SELECT parameter, round((max(ll) FILTER (side = 'up') - max(ll) FILTER (side = 'down')) "
+        f"/ 2e-4, 5) AS slope FROM ({' UNION ALL '.join(parts)}) GROUP BY parameter",
+    )
+
+
+def _slopes(data, objective, derivatives, params, weight=None):
+    """The score of one Newton round, per row and by log parameters."""
+    names = F.array(*[F.lit(name) for name in params])
+    scale = F.array(*[F.lit(float(v)) for v in params.values()])
+    rows = data.agg((F.sum(weight) if weight else F.count(F.lit(1))).cast("double"))
+    found = newton.sums(data, objective, derivatives, params, weight)
+    return found.withColumn("_n", rows.scalar()).select(
+        "_n", F.inline(F.arrays_zip(names.alias("parameter"), "score", scale.alias("scale")))
+    ).select("parameter", F.round(F.col("score") * F.col("scale") / F.col("_n"), 5).alias("slope"))
+
+
+@query("clv_bgnbd_score", _score_sql(BG, _BG_LL, "cbs"))
+def clv_bgnbd_score(spark, root):
+    data = lifetime.compress(_history(spark, root))
+    return _slopes(data, lifetime.bgnbd_log_likelihood, newton.bgnbd_derivatives, BG, "weight")
+
+
+@query("clv_gg_score", _score_sql(SPEND, _SPEND_LL, "(SELECT * FROM cbs WHERE x > 0)"))
+def clv_gg_score(spark, root):
+    data = lifetime.repeat_buyers(_history(spark, root))
+    return _slopes(data, lifetime.spend_log_likelihood, newton.spend_derivatives, SPEND)
+
+
 @query("clv_bgnbd_fit")
 def clv_bgnbd_fit(spark, root):
     return fitting.fit_bgnbd(_history(spark, root))
