@@ -29,7 +29,7 @@ SHARE = 50
 TOP = 2000
 
 # Three positions in a chunk's dictionary fit 63 bits.
-_CHUNK_WORDS = (1 << 21) - 8
+_CHUNK_WORDS = 1 << 20
 _CONTEXT = 2
 _BATCH = 1 << 16
 _SALT = 64
@@ -179,27 +179,34 @@ def _phrase_counts(chunks: DataFrame, vocabulary: DataFrame, least: int) -> Data
             for _ in range(length):
                 parts.insert(0, ids[key % width])
                 key = key // width
-            parts += [np.zeros(len(times), np.int64)] * (3 - length)
+            third = parts[2] if length == 3 else np.zeros(len(times), np.int64)
+            # Two ids share a column: fewer bytes are dealt out.
+            columns = ((parts[0] << 32) | parts[1], third, times.astype(np.int64))
             for n in range(0, len(times), _BATCH):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(v[n : n + _BATCH]) for v in (*parts, times.astype(np.int64))],
-                    ["w1", "w2", "w3", "n"],
+                    [pa.array(v[n : n + _BATCH]) for v in columns], ["head", "w3", "n"]
                 )
 
     def grams(rows: pa.Table, words: pa.Table) -> pa.Table:
-        schema = pa.schema([(c, pa.int64()) for c in ("w1", "w2", "w3", "n")])
+        schema = pa.schema([(c, pa.int64()) for c in ("head", "w3", "n")])
         return pa.Table.from_batches(run(rows, words), schema)
 
     return (
         chunks.select("chunk", "size", "fresh", "content")
         .groupBy("chunk")
         .cogroup(known.groupBy("of"))
-        .applyInArrow(grams, "w1 long, w2 long, w3 long, n long")
+        .applyInArrow(grams, "head long, w3 long, n long")
         # A chunk's phrases are summed and in order: dealt out as they are, they pack well.
-        .repartition("w1", "w2", "w3")
-        .groupBy("w1", "w2", "w3")
+        .repartition("head", "w3")
+        .groupBy("head", "w3")
         .agg(F.sum("n").alias("n"))
         .where(F.col("n") >= least)
+        .select(
+            F.shiftright("head", 32).alias("w1"),
+            F.col("head").bitwiseAND(F.lit((1 << 32) - 1)).alias("w2"),
+            "w3",
+            "n",
+        )
     )
 
 
@@ -300,12 +307,14 @@ def collocations(
     count again; an empty table gives no rows; other columns are not read.
     """
     if least < 1 or not _CONTEXT < chunk_words <= _CHUNK_WORDS:
-        raise ValueError("least must be 1 or more, and chunk_words from 3 to (1 << 21) - 8")
+        raise ValueError("least must be 1 or more, and chunk_words from 3 to 1 << 20")
     chunks = word_chunks(docs, chunk_words)
     counted = materialise(word_counts(chunks).where(F.col("n") >= least))
     totals = entries(chunks, "lang", "times").groupBy("lang").agg(F.sum("times").alias("n"))
     # Ids are 1, 2, 3, ... by language and word, and are written once.
     vocabulary = written(row_index(counted, ["lang", "word"], "id"), "vocabulary")
+    if (vocabulary.agg(F.max("id")).first()[0] or 0) >= 1 << 31:
+        raise ValueError("more frequent words than ids: raise least")
     phrases = materialise(_phrase_counts(chunks, vocabulary, least))
     zero = F.lit(0).cast("long")
     words = vocabulary.select(F.col("id").alias("x"), zero.alias("y"), zero.alias("z"), "n")
