@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import corpus
+import numpy as np
 import pytest
 from compare import connect
 
@@ -101,3 +102,26 @@ def test_the_query_equals_its_sql(spark, data):
     names = [d[0] for d in result.description]
     want = sorted(tuple(dict(zip(names, r))[c] for c in found.columns) for r in result.fetchall())
     assert sorted(map(tuple, found.collect())) == want and want
+
+
+def test_many_buckets_give_the_same_counts(spark):
+    """Runs of a few phrases, summed while a bucket is read, count the same."""
+    rows = _rows(11, 80)
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    chunks = phrases.word_chunks(docs, 50)
+    vocabulary = phrases.materialise(
+        phrases.row_index(phrases.word_counts(chunks).where("n >= 2"), ["lang", "word"], "id")
+    )
+    few, many = (
+        sorted(map(tuple, phrases._phrase_counts(chunks, vocabulary, 2, size).collect()))
+        for size in (1 << 21, 4)
+    )
+    assert few == many and len(few) > 100
+
+
+def test_a_run_keeps_its_phrases():
+    head = np.array([1 << 32 | 5, 7 << 32 | 1, (1 << 62) + 3, 2], np.int64)  # pairs, then triples
+    third = np.array([0, 0, 0, (1 << 31) - 1], np.int64)
+    times = np.array([1, 1 << 20, 3, 4], np.int64)
+    found = phrases._unblob(phrases._blob(head, third, times), 4)
+    assert all((a == b).all() for a, b in zip(found, (head, third, times)))

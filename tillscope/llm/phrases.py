@@ -32,6 +32,11 @@ TOP = 2000
 _CHUNK_WORDS = 1 << 20
 _CONTEXT = 2
 _BATCH = 1 << 16
+# Phrases of a bucket, about 24 bytes each while a task sums them; runs of one batch.
+_BUCKET_PHRASES = 1 << 21
+_RUNS = 64
+# Odd multipliers that spread phrases over buckets.
+_MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SALT = 64
 # Characters that end a piece; a tab is a space.
 _MARKS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\x09", b"\n" * 10 + b" ")
@@ -144,10 +149,50 @@ def word_counts(chunks: DataFrame) -> DataFrame:
     )
 
 
-def _phrase_counts(chunks: DataFrame, vocabulary: DataFrame, least: int) -> DataFrame:
+def _blob(head: np.ndarray, third: np.ndarray, times: np.ndarray) -> bytes:
+    """Phrases in ascending order: gaps of the first two ids, third ids and counts.
+
+    Laid out by the place of the byte, so that the many zero bytes lie together.
+    """
+    columns = (np.diff(head, prepend=0), third.astype(np.int32), times.astype(np.int32))
+    return squeezed(
+        np.concatenate(
+            [c.view(np.uint8).reshape(len(c), c.itemsize).T.ravel() for c in columns]
+        )
+    )
+
+
+def _unblob(data: bytes, size: int) -> list[np.ndarray]:
+    """``head``, ``third`` and ``times`` of ``_blob``."""
+    flat, start, columns = unsqueezed(data, 16 * size, "u1"), 0, []
+    for kind in (np.int64, np.int32, np.int32):
+        width = np.dtype(kind).itemsize
+        planes = flat[start : start + width * size].reshape(width, size)
+        columns.append(np.ascontiguousarray(planes.T).view(kind).ravel().astype(np.int64))
+        start += width * size
+    return [np.cumsum(columns[0]), *columns[1:]]
+
+
+def _summed(runs: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """The phrases of several runs with the sums of their counts."""
+    head, third, times = (np.concatenate(columns) for columns in zip(*runs))
+    order = np.lexsort((third, head))
+    head, third = head[order], third[order]
+    new = np.flatnonzero(
+        np.concatenate(([True], (np.diff(head) != 0) | (np.diff(third) != 0)))
+    )
+    return [head[new], third[new], np.add.reduceat(times[order], new)]
+
+
+def _phrase_counts(
+    chunks: DataFrame, vocabulary: DataFrame, least: int, bucket_phrases: int = _BUCKET_PHRASES
+) -> DataFrame:
     """``(w1, w2, w3, n)`` of the frequent phrases of two (``w3`` 0) and three words.
 
-    Words are ids of ``vocabulary(lang, word, id)``; other words cut pieces.
+    Words are ids of ``vocabulary(lang, word, id)``; other words cut pieces. A chunk
+    deals its phrases out as one sorted run per bucket of hashes. The number of
+    buckets grows with the words, so a bucket holds about ``bucket_phrases`` phrases
+    at every size, and one phrase at most once per chunk.
     """
     known = (
         entries(chunks, "lang", "word", "place")
@@ -157,16 +202,21 @@ def _phrase_counts(chunks: DataFrame, vocabulary: DataFrame, least: int) -> Data
         )
         .select(F.col("chunk").alias("of"), "place", "id")
     )
+    positions = chunks.agg(F.sum("size")).first()[0] or 0
+    buckets = 1 + 2 * positions // bucket_phrases
 
     def run(rows: pa.Table, words: pa.Table) -> Iterator[pa.RecordBatch]:
         row = {c: rows.column(c)[0].as_py() for c in ("size", "fresh", "content")}
         at = unsqueezed(row["content"], row["size"], "<i4")
         place, ids = words.column("place").to_numpy(), words.column("id").to_numpy()
-        # Positions among the frequent words alone; 0 for all others.
+        order = np.argsort(ids)
+        place, ids = place[order], ids[order]
+        # Positions among the frequent words alone, in the order of ids; 0 for all others.
         short = np.zeros(max(at.max(initial=0), place.max(initial=0)) + 1, np.int64)
         short[place] = np.arange(1, len(place) + 1)
         ids = np.concatenate(([0], ids))
         own, width = short[at], len(ids)
+        runs = []
         for length in (2, 3):
             ends = np.arange(max(row["fresh"], length - 1), len(own))
             held = [own[ends - length + 1 + k] for k in range(length)]
@@ -180,33 +230,55 @@ def _phrase_counts(chunks: DataFrame, vocabulary: DataFrame, least: int) -> Data
                 parts.insert(0, ids[key % width])
                 key = key // width
             third = parts[2] if length == 3 else np.zeros(len(times), np.int64)
-            # Two ids share a column: fewer bytes are dealt out.
-            columns = ((parts[0] << 32) | parts[1], third, times.astype(np.int64))
-            for n in range(0, len(times), _BATCH):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(v[n : n + _BATCH]) for v in columns], ["head", "w3", "n"]
-                )
+            runs.append([(parts[0] << 32) | parts[1], third, times])
+        head, third, times = (np.concatenate(columns) for columns in zip(*runs))
+        mixed = (head.astype(np.uint64) * _MIX) ^ ((third.astype(np.uint64) + 1) * _MIX2)
+        mixed ^= mixed >> np.uint64(29)
+        bucket = ((mixed * _MIX) >> np.uint64(20)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        bucket = bucket[order].astype(np.int64)
+        columns = [c[order] for c in (head, third, times)]
+        starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        stops = np.append(starts[1:], len(bucket))
+        for n in range(0, len(starts), _RUNS):
+            spans = list(zip(starts[n : n + _RUNS], stops[n : n + _RUNS]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([bucket[i] for i, _ in spans], pa.int64()),
+                    pa.array([k - i for i, k in spans], pa.int64()),
+                    pa.array([_blob(*[c[i:k] for c in columns]) for i, k in spans], pa.binary()),
+                ],
+                ["bucket", "size", "run"],
+            )
 
     def grams(rows: pa.Table, words: pa.Table) -> pa.Table:
-        schema = pa.schema([(c, pa.int64()) for c in ("head", "w3", "n")])
+        schema = pa.schema([("bucket", pa.int64()), ("size", pa.int64()), ("run", pa.binary())])
         return pa.Table.from_batches(run(rows, words), schema)
 
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs, waiting = [], 0
+        for batch in batches:
+            for size, data in zip(batch.column("size").to_pylist(), batch.column("run")):
+                runs.append(_unblob(data.as_py(), size))
+                waiting += size
+                if waiting > bucket_phrases:
+                    runs, waiting = [_summed(runs)], 0
+        head, third, times = _summed(runs)
+        found = np.flatnonzero(times >= least)
+        columns = (head >> 32, head & ((1 << 32) - 1), third, times)
+        for n in range(0, len(found), _BATCH):
+            some = found[n : n + _BATCH]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c[some], pa.int64()) for c in columns], ["w1", "w2", "w3", "n"]
+            )
+
     return (
         chunks.select("chunk", "size", "fresh", "content")
         .groupBy("chunk")
         .cogroup(known.groupBy("of"))
-        .applyInArrow(grams, "head long, w3 long, n long")
-        # A chunk's phrases are summed and in order: dealt out as they are, they pack well.
-        .repartition("head", "w3")
-        .groupBy("head", "w3")
-        .agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= least)
-        .select(
-            F.shiftright("head", 32).alias("w1"),
-            F.col("head").bitwiseAND(F.lit((1 << 32) - 1)).alias("w2"),
-            "w3",
-            "n",
-        )
+        .applyInArrow(grams, "bucket long, size long, run binary")
+        .groupBy("bucket")
+        .applyInArrow(merged, "w1 long, w2 long, w3 long, n long")
     )
 
 
