@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -351,25 +351,124 @@ def validity_indices(labelled: DataFrame, features: Sequence[str] = FEATURES) ->
     )
 
 
+_SWEEP_SCHEMA = (
+    "k long, within_ss double, silhouette double, "
+    "calinski_harabasz double, davies_bouldin double"
+)
+
+
 def repeatable_sweep(
-    base: DataFrame, ks: Sequence[int] = tuple(range(2, 9)), rounds: int = 3
+    base: DataFrame,
+    ks: Sequence[int] = tuple(range(2, 9)),
+    rounds: int = 3,
+    features: Sequence[str] = FEATURES,
+    spread: str = "monetary",
 ) -> DataFrame:
-    """``sweep_k`` over ``lloyd_clusters`` with k evenly spread quantile seeds."""
-    data = materialise(base)
-    parts = []
-    for k in ks:
-        labelled = _lloyd(data, [(2 * i + 1) / (2 * k) for i in range(k)], rounds)
-        within = anova(labelled).agg(F.sum("ss_within"))
-        parts.append(
-            validity_indices(labelled).select(
-                F.lit(k).cast("long").alias("k"),
-                within.scalar().alias("within_ss"),
-                "silhouette",
-                "calinski_harabasz",
-                "davies_bouldin",
-            )
-        )
-    return materialise(reduce(DataFrame.unionByName, parts))
+    """``lloyd_clusters`` with k evenly spread quantile seeds for every k, and three indices.
+
+    One row per k, as from ``sweep_k``. All k share their jobs: one call for the
+    seeds, one aggregation a round and two for the indices, each with a row per k
+    and cluster. An empty table has no rows; an index that is not defined, as for
+    one cluster, is null.
+    """
+    data = materialise(base.select(*[F.col(f).cast("double").alias(f) for f in features]))
+    means = data.agg(*[F.avg(f).alias(f) for f in features]).first().asDict()
+    if means[spread] is None:
+        return base.sparkSession.createDataFrame([], _SWEEP_SCHEMA)
+    shares = sorted({(2 * i + 1) / (2 * k) for k in ks for i in range(k)})
+    found = exact_quantiles(data, [spread], shares).first()["quantiles"]
+    seeds = dict(zip(shares, found))
+    centers = {
+        k: [{**means, spread: seeds[(2 * i + 1) / (2 * k)]} for i in range(k)] for k in ks
+    }
+
+    def labels() -> dict[str, Column]:
+        return {f"_label{k}": _nearest(centers[k], features) for k in ks}
+
+    def by_cluster(labelled: DataFrame, *aggregates: Column) -> list[Row]:
+        cells = [F.struct(F.lit(k).alias("k"), F.col(f"_label{k}").alias("cluster")) for k in ks]
+        rows = labelled.select(*features, F.inline(F.array(*cells)))
+        return rows.groupBy("k", "cluster").agg(*aggregates).collect()  # a row per k and cluster
+
+    for _ in range(rounds):
+        for row in by_cluster(data.withColumns(labels()), *[F.avg(f).alias(f) for f in features]):
+            centers[row["k"]][row["cluster"] - 1] = {f: row[f] for f in features}
+    labelled = materialise(data.withColumns(labels()))
+    moments = by_cluster(
+        labelled,
+        F.count(F.lit(1)).alias("n"),
+        *[F.avg(f).alias(f) for f in features],
+        *[F.var_pop(f).alias(f"_var_{f}") for f in features],
+    )
+    by_k = {k: [row for row in moments if row["k"] == k] for k in ks}
+    cells = [_fit_of_row(k, by_k[k], features) for k in ks]
+    fits = (
+        labelled.select(F.inline(F.array(*cells)))
+        .groupBy("k", "cluster")
+        .agg(F.avg("far").alias("far"), F.sum("silhouette").alias("silhouette"))
+        .collect()  # a row per k and cluster
+    )
+    rows = [
+        _sweep_row(k, by_k[k], {r["cluster"]: r for r in fits if r["k"] == k}, features)
+        for k in ks
+    ]
+    return base.sparkSession.createDataFrame(rows, _SWEEP_SCHEMA)
+
+
+def _fit_of_row(k: int, clusters: Sequence[Row], features: Sequence[str]) -> Column:
+    """A row's cluster among ``k``, its distance to the centre and its silhouette.
+
+    The mean squared distance to a cluster is that to its centre and the cluster's variance.
+    """
+    label = F.col(f"_label{k}")
+    near = [
+        _squared_distance({f: F.lit(float(c[f])) for f in features}, features) for c in clusters
+    ]
+    gaps = [
+        square + F.lit(float(sum(c[f"_var_{f}"] for f in features)))
+        for square, c in zip(near, clusters)
+    ]
+    far = own = F.lit(None).cast("double")
+    for c, square, gap in zip(clusters, near, gaps):
+        mine = label == c["cluster"]
+        far = F.when(mine, F.sqrt(square)).otherwise(far)
+        if c["n"] > 1:
+            own = F.when(mine, gap * F.lit(c["n"] / (c["n"] - 1))).otherwise(own)
+    other = [F.when(label != c["cluster"], gap) for c, gap in zip(clusters, gaps)]
+    other = F.least(*other) if len(other) > 1 else F.lit(None).cast("double")
+    silhouette = F.coalesce(F.try_divide(other - own, F.greatest(own, other)), F.lit(0.0))
+    return F.struct(
+        F.lit(k).alias("k"),
+        label.alias("cluster"),
+        far.alias("far"),
+        silhouette.alias("silhouette"),
+    )
+
+
+def _sweep_row(
+    k: int, clusters: Sequence[Row], fits: Mapping[int, Row], features: Sequence[str]
+) -> tuple:
+    """The row of ``repeatable_sweep`` for one k, from one row per cluster."""
+    total = sum(c["n"] for c in clusters)
+    grand = {f: sum(c["n"] * c[f] for c in clusters) / total for f in features}
+    within = math.fsum(c["n"] * c[f"_var_{f}"] for c in clusters for f in features)
+    between = math.fsum(c["n"] * (c[f] - grand[f]) ** 2 for c in clusters for f in features)
+    df_between, df_within = len(clusters) - 1, total - len(clusters)
+    ratio = bouldin = None
+    if df_between and df_within and within:
+        ratio = (between / df_between) / (within / df_within)
+
+    def overlap(one: Row, two: Row) -> float:
+        apart = math.dist([one[f] for f in features], [two[f] for f in features])
+        spreads = fits[one["cluster"]]["far"] + fits[two["cluster"]]["far"]
+        return spreads / apart if apart else math.inf
+
+    if df_between:
+        bouldin = math.fsum(
+            max(overlap(one, two) for two in clusters if two is not one) for one in clusters
+        ) / len(clusters)
+    silhouette = math.fsum(f["silhouette"] for f in fits.values()) / total
+    return k, within, silhouette, ratio, bouldin
 
 
 def sweep_k(
@@ -401,11 +500,7 @@ def sweep_k(
                 float(indices["davies_bouldin"]),
             ]
         rows.append(tuple(row))
-    return spark.createDataFrame(
-        rows,
-        "k long, within_ss double, silhouette double, "
-        "calinski_harabasz double, davies_bouldin double",
-    )
+    return spark.createDataFrame(rows, _SWEEP_SCHEMA)
 
 
 def choose_k(sweep: DataFrame) -> DataFrame:

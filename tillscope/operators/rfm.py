@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.operators.quantiles import exact_quantiles, quantile_columns
+from tillscope.session import materialise
 from tillscope.sources.order_lines import VALUE
 
 MEASURES = ("recency_days", "transaction_count", "amount")
@@ -62,7 +63,11 @@ def score_measures(measures: DataFrame, bins: int = 5) -> DataFrame:
     A bin holds its lower cut but not its upper one; the last also holds the
     maximum. Ties can leave bins empty, which equal-sized buckets would not. Low
     recency scores high. The cuts are one row and enter as a scalar subquery.
+
+    The measures, one row per customer, are materialised: the cuts and the scores
+    read them and not the lines again.
     """
+    measures = materialise(measures)
     inner = [i / bins for i in range(1, bins)]
     cuts = exact_quantiles(measures, MEASURES, inner).agg(
         F.map_from_entries(F.collect_list(F.struct("variable", "quantiles"))).alias("cuts")
