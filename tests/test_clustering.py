@@ -76,3 +76,45 @@ def test_sweep_prefers_three_groups(base):
 def test_standardised_features(base):
     row = clustering.standardise(base).agg({"monetary": "stddev"}).first()
     assert row[0] == pytest.approx(1.0)
+
+
+def _plain_indices(points, labels):
+    """Calinski-Harabasz, Davies-Bouldin and the silhouette on squared distances, by pairs."""
+    groups = {c: points[labels == c] for c in sorted(set(labels))}
+    centers = {c: g.mean(axis=0) for c, g in groups.items()}
+    within = sum(((g - centers[c]) ** 2).sum() for c, g in groups.items())
+    between = sum(len(g) * ((centers[c] - points.mean(axis=0)) ** 2).sum() for c, g in groups.items())
+    ratio = (between / (len(groups) - 1)) / (within / (len(points) - len(groups)))
+    far = {c: np.sqrt(((g - centers[c]) ** 2).sum(axis=1)).mean() for c, g in groups.items()}
+    bouldin = np.mean([
+        max((far[c] + far[d]) / np.linalg.norm(centers[c] - centers[d]) for d in groups if d != c)
+        for c in groups
+    ])
+    shown = []
+    for point, own in zip(points, labels):
+        gaps = {c: ((g - point) ** 2).sum(axis=1) for c, g in groups.items()}
+        n = len(groups[own])
+        if n == 1:
+            shown.append(0.0)
+            continue
+        a, b = gaps[own].sum() / (n - 1), min(g.mean() for c, g in gaps.items() if c != own)
+        shown.append((b - a) / max(a, b))
+    return within, np.mean(shown), ratio, bouldin
+
+
+def test_a_sweep_equals_clusters_of_one_k_at_a_time(spark):
+    rng = np.random.default_rng(4)
+    points = np.concatenate([rng.normal(m, 1.0, (20, 3)) for m in (0, 8, 20)] + [[[90.0, 0, 50]]])
+    base = spark.createDataFrame(
+        [(f"c{i}", *map(float, p)) for i, p in enumerate(points)],
+        "customer_id string, recency double, frequency double, monetary double",
+    )
+    sweep = {r["k"]: r for r in clustering.repeatable_sweep(base, (1, 2, 3, 4)).collect()}
+    for k in (2, 3, 4):
+        seeds = [(2 * i + 1) / (2 * k) for i in range(k)]
+        rows = clustering.lloyd_clusters(base, seeds, 3).collect()
+        at = np.array([[r["recency"], r["frequency"], r["monetary"]] for r in rows])
+        want = _plain_indices(at, np.array([r["cluster"] for r in rows]))
+        np.testing.assert_allclose(list(sweep[k])[1:], want, rtol=1e-9)
+    assert list(sweep[1])[2:] == [0.0, None, None]
+    assert clustering.repeatable_sweep(base.limit(0)).isEmpty()

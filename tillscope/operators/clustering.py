@@ -75,16 +75,23 @@ def drop_outliers(base: DataFrame, k: int = 5, features: Sequence[str] = FEATURE
     return base.join(F.broadcast(ids), "customer_id", "left_anti")
 
 
+def _double(value: float) -> str:
+    return f"CAST('{float(value)!r}' AS DOUBLE)"
+
+
+def _square(center: Mapping[str, float], features: Sequence[str]) -> str:
+    """SQL for the squared distance to a centre: text is one call to the driver's JVM."""
+    return "(" + " + ".join(f"pow(`{f}` - {_double(center[f])}, 2)" for f in features) + ")"
+
+
 def _nearest(centers: Sequence[Mapping[str, float]], features: Sequence[str]) -> Column:
     """1-based number of the nearest centre; the lower number wins a tie."""
-    distances = [
-        _squared_distance({f: F.lit(float(c[f])) for f in features}, features) for c in centers
-    ]
-    best = F.least(*distances)
-    label = F.lit(len(centers))
-    for i in range(len(centers) - 1, 0, -1):
-        label = F.when(distances[i - 1] == best, F.lit(i)).otherwise(label)
-    return label.cast("long")
+    squares = [_square(c, features) for c in centers]
+    if len(squares) == 1:
+        return F.lit(1).cast("long")
+    best = f"least({', '.join(squares)})"
+    cases = " ".join(f"WHEN {d} = {best} THEN {i}" for i, d in enumerate(squares[:-1], start=1))
+    return F.expr(f"CAST(CASE {cases} ELSE {len(squares)} END AS BIGINT)")
 
 
 def lloyd_clusters(
@@ -420,27 +427,26 @@ def _fit_of_row(k: int, clusters: Sequence[Row], features: Sequence[str]) -> Col
 
     The mean squared distance to a cluster is that to its centre and the cluster's variance.
     """
-    label = F.col(f"_label{k}")
-    near = [
-        _squared_distance({f: F.lit(float(c[f])) for f in features}, features) for c in clusters
-    ]
-    gaps = [
-        square + F.lit(float(sum(c[f"_var_{f}"] for f in features)))
-        for square, c in zip(near, clusters)
-    ]
-    far = own = F.lit(None).cast("double")
-    for c, square, gap in zip(clusters, near, gaps):
-        mine = label == c["cluster"]
-        far = F.when(mine, F.sqrt(square)).otherwise(far)
+    label = f"_label{k}"
+    far, own, other = [], [], []
+    for c in clusters:
+        square = _square({f: c[f] for f in features}, features)
+        gap = f"({square} + {_double(sum(c[f'_var_{f}'] for f in features))})"
+        far.append(f"WHEN {c['cluster']} THEN sqrt({square})")
         if c["n"] > 1:
-            own = F.when(mine, gap * F.lit(c["n"] / (c["n"] - 1))).otherwise(own)
-    other = [F.when(label != c["cluster"], gap) for c, gap in zip(clusters, gaps)]
-    other = F.least(*other) if len(other) > 1 else F.lit(None).cast("double")
-    silhouette = F.coalesce(F.try_divide(other - own, F.greatest(own, other)), F.lit(0.0))
+            own.append(f"WHEN {c['cluster']} THEN {gap} * {_double(c['n'] / (c['n'] - 1))}")
+        other.append(f"CASE WHEN {label} != {c['cluster']} THEN {gap} END")
+    # A cluster of one row, or the only cluster, has a silhouette of 0.
+    silhouette = F.lit(0.0)
+    if own and len(other) > 1:
+        mine, nearest = f"(CASE {label} {' '.join(own)} END)", f"least({', '.join(other)})"
+        silhouette = F.expr(
+            f"coalesce(try_divide({nearest} - {mine}, greatest({mine}, {nearest})), 0D)"
+        )
     return F.struct(
         F.lit(k).alias("k"),
-        label.alias("cluster"),
-        far.alias("far"),
+        F.col(label).alias("cluster"),
+        F.expr(f"CASE {label} {' '.join(far)} END").alias("far"),
         silhouette.alias("silhouette"),
     )
 
