@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tillscope.functions import bgnbd, gamma_gamma, pnbd
+from tillscope.functions import bgnbd, gamma_gamma, pnbd, special
 from tillscope.functions.special import hyp2f1, log_gamma
 from tillscope.operators import fitting, lifetime
 
@@ -234,3 +234,93 @@ def test_spend_density_equals_direct_kernel_sums(spark):
     assert 0.9 < sum(r["density"] for r in found) * step < 1  # some mass lies beyond the ends
     assert lifetime.spend_density(history.limit(1)).isEmpty()
     assert lifetime.spend_density(history.limit(0)).isEmpty()
+
+
+def _dropout_by_series(r, alpha, s, beta, x, t_x, t_cal):
+    """The closed form: the difference of two hypergeometric series."""
+    top, total = np.maximum(alpha, beta), r + s + x
+    second = np.where(alpha >= beta, s + 1, r + x)
+
+    def log_part(y):
+        z = np.abs(alpha - beta) / (top + y)
+        return np.log(special._hyp2f1_values(total, second, total + 1, z)) - total * np.log(top + y)
+
+    early, late = log_part(t_x), log_part(t_cal)
+    with np.errstate(all="ignore"):
+        return np.log(s / total) + late + np.log(np.expm1(early - late)), early - late
+
+
+def test_pnbd_dropout_equals_the_series_over_the_box(spark):
+    rng = np.random.default_rng(4)
+    n = 3000
+    r, alpha, s, beta = 10 ** rng.uniform(-4, 4, (4, n))
+    x = np.where(rng.random(n) < 0.4, 0, rng.integers(1, 60, n)).astype(float)
+    t_cal = 10 ** rng.uniform(0, 2.5, n)
+    t_x = np.where(x == 0, 0, t_cal * rng.random(n))
+    beta[:20] = alpha[:20]
+    # Below a hundredth of the larger one the series takes up to a million terms.
+    near = np.minimum(alpha, beta) > 0.01 * (np.maximum(alpha, beta))
+    want, gap = _dropout_by_series(*[v[near] for v in (r, alpha, s, beta, x, t_x, t_cal)])
+    frame = pd.DataFrame(
+        {"r": r, "alpha": alpha, "s": s, "beta": beta, "x": x, "t_x": t_x, "t_cal": t_cal}
+    )[near]
+    params = {name: F.col(name) for name in pnbd.PARAMETERS}
+    got = spark.createDataFrame(frame).select(
+        pnbd._log_dropout(params, F.col("x"), F.col("t_x"), F.col("t_cal")).alias("v")
+    )
+    found = np.array([row["v"] for row in got.collect()], float)
+    assert np.isfinite(found).all()
+    # The difference of the series keeps digits only where it is not small, and its logarithms
+    # only where total * ln(top + y) is not large.
+    total = (r + s + x)[near]
+    firm = (gap > 1e-2) & (gap < 600) & (total < 1e3)
+    assert firm.sum() > 200
+    error = np.abs(found - want)[firm]
+    assert error.max() < 1e-10
+
+
+def test_power_integral_against_plain_quadrature(spark):
+    """Every corner of the box, where the series has no digits left."""
+    rng = np.random.default_rng(8)
+    n = 1500
+    a, b, p, q = 10 ** rng.uniform(-4, 4, (4, n))
+    a[:100], b[:100], p[:100], q[:100] = 10.0 ** rng.choice([-4, 4], (4, 100))
+    end = 10 ** rng.uniform(-1, 3, n)
+    start = np.where(rng.random(n) < 0.5, 0, end * rng.random(n))
+    q = q + 1
+    near, far = np.minimum(a, b), np.maximum(a, b)
+    inner, outer = np.where(a <= b, p, q), np.where(a <= b, q, p)
+    width, share = np.log1p((end - start) / (near + start)), (near + start) / (far + start)
+    u, w = np.polynomial.legendre.leggauss(20)
+    edges = np.concatenate([[0], np.geomspace(1e-7, 1, 120)])
+    want = np.zeros(n)
+    for low, high in zip(edges[:-1], edges[1:]):
+        v = (low + (high - low) * (u + 1) / 2)[:, None] * width
+        value = np.exp((1 - inner) * v - outer * np.log1p(share * np.expm1(v)))
+        want += (w[:, None] * value).sum(0) * (high - low) / 2
+    want = np.log(want * width) + np.log(near + start) - p * np.log(a + start) - q * np.log(b + start)
+    frame = pd.DataFrame({"a": a, "b": b, "p": p, "q": q, "start": start, "end": end})
+    got = spark.createDataFrame(frame).select(
+        special.log_power_integral(*[F.col(c) for c in frame.columns]).alias("v")
+    )
+    found = np.array([row["v"] for row in got.collect()], float)
+    # Logarithms of up to 1e5 keep about 1e-11.
+    assert np.max(np.abs(found - want) / np.maximum(1, np.abs(want) * 1e-2)) < 1e-10
+
+
+def test_power_integral_of_nothing_is_null(spark):
+    for start, end in ((3, 3), (4, 3)):
+        assert _value(spark, special.log_power_integral(*_at(1, 2, 3, 4, start, end))) is None
+    missing = special.log_power_integral(*_at(1, 2, 3, 4, 0), F.lit(None).cast("double"))
+    assert _value(spark, missing) is None
+
+
+def test_pareto_values_need_no_python(spark, lines):
+    history = lifetime.purchase_history(lifetime.event_log(lines, CUTOFF, 50), CUTOFF)
+    params = dict(zip(pnbd.PARAMETERS, (0.8, 6.0, 0.9, 12.0), strict=True))
+    frame = history.select(lifetime.pnbd_log_likelihood(params).alias("v"))
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    predicted = lifetime.predict_purchases(history, params, pnbd, "v")
+    plan = predicted._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan

@@ -11,28 +11,19 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tillscope.functions.special import hyp2f1, log_add, log_gamma, log_rising
+from tillscope.functions.special import hyp2f1, let, log_add, log_gamma, log_power_integral, log_rising
 
 PARAMETERS = ("r", "alpha", "s", "beta")
 
 
-def _log_antiderivative(params: Mapping[str, Column], x: Column, y: Column) -> Column:
-    """ln A(y), where A0 = A(t_x) - A(t_cal) is the share of dropped-out paths."""
-    r, alpha, s, beta = (params[name] for name in PARAMETERS)
-    top = F.greatest(alpha, beta)
-    second = F.when(alpha >= beta, s + 1).otherwise(r + x)
-    total = r + s + x
-    series = hyp2f1(total, second, total + 1, F.abs(alpha - beta) / (top + y))
-    return F.log(series) - total * F.log(top + y)
-
-
 def _log_dropout(params: Mapping[str, Column], x: Column, t_x: Column, t_cal: Column) -> Column:
-    """ln of s/(r+s+x) A0; null where t_x = t_cal, when A0 is zero."""
-    r, s = params["r"], params["s"]
-    early = _log_antiderivative(params, x, t_x)
-    late = _log_antiderivative(params, x, t_cal)
-    gap = F.expm1(early - late)
-    return F.when(gap > 0, F.log(s) - F.log(r + s + x) + late + F.log(gap))
+    """ln of s/(r+s+x) A0, the paths that dropped out after t_x; null where t_x = t_cal.
+
+    As the integral over the drop-out time of which A0 is the closed form: it needs neither a
+    series whose length depends on the row nor the difference of two of them.
+    """
+    r, alpha, s, beta = (params[name] for name in PARAMETERS)
+    return F.log(s) + log_power_integral(alpha, beta, r + x, s + 1, t_x, t_cal)
 
 
 def log_likelihood(params: Mapping[str, Column], x: Column, t_x: Column, t_cal: Column) -> Column:
@@ -42,7 +33,7 @@ def log_likelihood(params: Mapping[str, Column], x: Column, t_x: Column, t_cal:
         log_rising(r, x)
         + r * F.log(alpha)
         + s * F.log(beta)
-        + log_add(alive, _log_dropout(params, x, t_x, t_cal))
+        + let(_log_dropout(params, x, t_x, t_cal), lambda gone: log_add(alive, gone))
     )
 
 

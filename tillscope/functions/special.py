@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -20,6 +21,14 @@ def as_column(value: Column | float | int | str) -> Column:
     return F.col(value) if isinstance(value, str) else F.lit(float(value))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it.
+
+    Spark does not share repeated expressions that contain a lambda.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def log_gamma(z: Column) -> Column:
     """ln Gamma(z) for z > 0: Stirling's series at z + 8, shifted back.
 
@@ -229,3 +238,57 @@ def log_f_tail(f: Column, df_between: Column, df_within: Column) -> Column:
     other = F.log1p(-F.exp(_log_incomplete_beta(b, a, rest, x)))
     tail = F.when(x < (a + 1) / (a + b + 2), direct).otherwise(other)
     return F.when(f == 0, F.lit(0.0)).when(f > 0, tail)
+
+
+# A window in which the integrand below falls by this many powers of e, and the nodes on it: over the
+# box 1e-4 to 1e4 of the parameters the error stays below 1e-11.
+_REACH, _NODES = 40.0, 48
+# Windows no wider than 3 with a fall of at most 20 need no more nodes than this for 1e-13.
+_SHORT_WIDTH, _SHORT_FALL, _SHORT_NODES = 3.0, 20.0, 16
+
+
+def _gauss_nodes(n: int) -> Column:
+    places, weights = np.polynomial.legendre.leggauss(n)
+    pairs = zip((places + 1) / 2, weights / 2, strict=True)
+    return F.array(*[F.struct(F.lit(float(u)).alias("at"), F.lit(float(w)).alias("weight")) for u, w in pairs])
+
+
+def log_power_integral(a: Column, b: Column, p: Column, q: Column, start: Column, end: Column) -> Column:
+    """ln of the integral of (a + y)^-p (b + y)^-q from ``start`` to ``end``; null unless end > start.
+
+    For a, b, p, q > 0, start >= 0, and of the exponents that of the larger of a and b at
+    least 1 wherever the other is below 1. With v = ln((near + y) / (near + start)), near being
+    the smaller of a and b, the logarithm of the integrand is concave and smooth, so that a
+    fixed number of Gauss-Legendre nodes is enough on the part that is not negligible, whose
+    width has a closed form. Stays in the JVM; no difference of close numbers is formed.
+    """
+    a, b, p, q, start, end = (v.cast("double") for v in (a, b, p, q, start, end))
+    near, far = F.least(a, b), F.greatest(a, b)
+    inner, outer = F.when(a <= b, p).otherwise(q), F.when(a <= b, q).otherwise(p)
+    width = F.log1p((end - start) / (near + start))
+    share = (near + start) / (far + start)
+    # The integrand rises by no more than this before it falls.
+    rise = F.greatest(1 - inner, F.lit(0.0)) * width
+    reach = F.least(
+        width,
+        F.when(inner > 1, _REACH / (inner - 1)),
+        F.log1p(F.expm1((_REACH + rise) / outer) / share),
+    )
+    few, many = _gauss_nodes(_SHORT_NODES), _gauss_nodes(_NODES)
+
+    def total(row: Column) -> Column:
+        def log_value(v: Column) -> Column:
+            return row["slope"] * v - row["outer"] * F.log1p(row["share"] * F.expm1(v))
+
+        def add(so_far: Column, node: Column) -> Column:
+            return so_far + node["weight"] * F.exp(log_value(node["at"] * row["reach"]))
+
+        short = (row["reach"] <= _SHORT_WIDTH) & (log_value(row["reach"]) >= -_SHORT_FALL)
+        nodes = F.when(short, few).otherwise(many)
+        return F.log(F.aggregate(nodes, F.lit(0.0), add) * row["reach"])
+
+    shared = F.struct(
+        reach.alias("reach"), (1 - inner).alias("slope"), outer.alias("outer"), share.alias("share")
+    )
+    scale = F.log(near + start) - p * F.log(a + start) - q * F.log(b + start)
+    return F.when(end > start, let(shared, total) + scale)
