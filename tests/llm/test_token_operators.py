@@ -314,6 +314,59 @@ def test_toxicity_held_out_and_counterfactual(spark):
         assert 0 <= row["score"] <= 1 and row["predicted"] == (row["score"] >= 0.5)
 
 
+def test_neutral_mentions_are_not_toxic_with_the_penalty(spark):
+    docs, labels = _labelled(spark)
+    docs, labels = materialise(docs), materialise(labels)
+    fair = toxicity.train(docs, labels, fairness=30.0)
+    blunt = toxicity.train(docs, labels, fairness=0.0)
+    assert fair.swapped > 0 and fair.slotted > 0
+    held = [r["text"] for r in docs.where(toxicity.held_out(F.col("doc_id"))).collect()]
+    clean = [t for t in held if not toxicity.words_of(t) & {"nastyish", "nastyest", "awful"}]
+    before = after = 0
+    for text in clean:
+        rest = [w for w in text.split() if w not in ("muslims", "christians", "jews")]
+        mention = " ".join([*rest, "muslims"])
+        assert fair.score(mention) < blunt.score(mention)
+        before += blunt.score(mention) >= 0.5
+        after += fair.score(mention) >= 0.5
+    assert after < before
+
+
+def test_slots_act_where_no_text_names_a_group(spark):
+    rows = [(n, "chr" + "istmas dinner" if n % 3 else "dull evening") for n in range(90)]
+    docs = corpus.documents(spark, rows)
+    labels = spark.createDataFrame(
+        [(n, 1, int(n % 3 > 0)) for n in range(90)], "doc_id long, quality int, toxic int"
+    )
+    # "christmas" shares its beginning with "christians", which no text holds.
+    sets = (("christians", "jews"),)
+    blunt = toxicity.train(docs, labels, fairness=0.0, terms=sets)
+    fair = toxicity.train(docs, labels, fairness=30.0, terms=sets)
+    assert fair.swapped == 0 and fair.slotted > 0
+
+    def change(model):
+        return abs(model.word_weight("christians"))
+
+    assert change(fair) < 0.2 * change(blunt)
+    assert toxicity.train(docs, labels, terms=()).slotted == 0
+
+
+def test_slots_take_terms_that_the_text_does_not_name():
+    sets = (("women", "men"), ("old", "young"), ("alone",))
+    seen = set()
+    for n in range(200):
+        swaps, slots = toxicity.copy_differences(f"text {n}", {"text"}, sets, sets)
+        assert not swaps and slots[0][0] is None
+        term = slots[0][1]
+        group = next(g for g in sets if term in g)
+        assert [s for s in slots[1:]] == ([] if len(group) == 1 else [(term, *set(group) - {term})])
+        seen.add(term)
+    assert seen == {"women", "men", "old", "young", "alone"}
+    swaps, slots = toxicity.copy_differences("women", {"women"}, sets[:1], sets[:1])
+    assert swaps == [("women", "men")] and not slots
+    assert toxicity.copy_differences("", set(), sets, ()) == ([], [])
+
+
 def test_held_out_labels_are_never_read(spark):
     docs, labels = _labelled(spark, 200)
     flipped = labels.withColumn(

@@ -2,15 +2,18 @@
 
 A logistic model over words and word beginnings, fitted on a bounded sample of
 labelled texts. Each sampled text that names a group also gives copies with the
-identity term swapped for others of its set; the squared change of the score
-between a text and its copies is penalised, so that naming a group says little
-about toxicity.
+identity term swapped for others of its set. Every sampled text, whatever it
+holds, also lends a slot: a copy that names a group in it, and one that names
+another of the same set. The squared change of the logit between a text and its
+copies is penalised, so that naming a group says little about toxicity. A term
+of which no feature was chosen cannot change a score; it gives no copies.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -22,7 +25,8 @@ from pyspark.sql import functions as F
 
 from tillscope.session import materialise, ship_package
 
-# Sets of identity terms that may stand for each other in a sentence.
+# Sets of identity terms that may stand for each other in a sentence: English, French, German, Spanish.
+# Fixed values.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("women", "men", "girls", "boys"),
     ("woman", "man", "girl", "boy"),
@@ -33,6 +37,30 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("immigrants", "refugees", "foreigners", "natives"),
     ("old", "young"),
     ("disabled", "deaf", "blind"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("femme", "homme", "fille", "garçon"),
+    ("homosexuels", "hétérosexuels", "lesbiennes", "bisexuels"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques", "arabes"),
+    ("immigrés", "réfugiés", "étrangers"),
+    ("vieux", "jeunes"),
+    ("handicapés", "sourds", "aveugles"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("frau", "mann"),
+    ("homosexuelle", "heterosexuelle", "lesben", "bisexuelle"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("schwarze", "weiße", "asiaten", "araber"),
+    ("einwanderer", "flüchtlinge", "ausländer"),
+    ("alte", "junge"),
+    ("behinderte", "gehörlose", "blinde"),
+    ("mujeres", "hombres", "chicas", "chicos"),
+    ("mujer", "hombre", "chica", "chico"),
+    ("homosexuales", "heterosexuales", "lesbianas", "bisexuales"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos", "árabes"),
+    ("inmigrantes", "refugiados", "extranjeros"),
+    ("viejos", "jóvenes"),
+    ("discapacitados", "sordos", "ciegos"),
 )
 
 # Labelled rows that the classifier is fitted on.
@@ -67,12 +95,29 @@ def counterfactuals(
     ]
 
 
+def slot_terms(text: str, sets: Sequence[Sequence[str]]) -> tuple[str, str] | None:
+    """Two terms of one set to name in a slot of the text, drawn by its hash; None without sets."""
+    if not sets:
+        return None
+    draw = zlib.crc32(text.encode("utf-8", "replace"))
+    draw, at = divmod(draw, len(sets))
+    draw, first = divmod(draw, len(sets[at]))
+    step = 1 + draw % max(1, len(sets[at]) - 1)
+    return sets[at][first], sets[at][(first + step) % len(sets[at])]
+
+
 @dataclass
 class Classifier:
-    """Weights by feature; the logit is their sum over a text's distinct words."""
+    """Weights by feature; the logit is their sum over a text's distinct words.
+
+    ``swapped`` copies of texts with identity terms and ``slotted`` copies of texts
+    with a term put in were held against the texts while it was fitted.
+    """
 
     weights: dict[str, float]
     bias: float
+    swapped: int = 0
+    slotted: int = 0
     known: dict[str, float] = field(default_factory=dict, repr=False, compare=False)
 
     def word_weight(self, word: str) -> float:
@@ -115,7 +160,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int) -> Data
     )
 
 
-def choose_features(rows: DataFrame, n_features: int, min_docs: int) -> list[str]:
+def choose_features(
+    rows: DataFrame,
+    n_features: int,
+    min_docs: int,
+    terms: Sequence[Sequence[str]] = IDENTITY_TERMS,
+) -> list[str]:
     """The features whose share differs most between the classes, by a z statistic.
 
     Documents are counted per feature in each task before the shuffle; only the
@@ -148,7 +198,7 @@ def choose_features(rows: DataFrame, n_features: int, min_docs: int) -> list[str
         .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
         .where(F.col("n0") + F.col("n1") >= min_docs)
     )
-    named = sorted({f for group in IDENTITY_TERMS for term in group for f in features_of(term)})
+    named = sorted({f for group in terms for term in group for f in features_of(term)})
     p0, p1 = (F.col("n0") + 0.5) / (n0 + 1), (F.col("n1") + 0.5) / (n1 + 1)
     spread = F.sqrt(p0 * (1 - p0) / n0 + p1 * (1 - p1) / n1)
     best = (
@@ -168,41 +218,72 @@ def _slices(items: list, size: int) -> Iterator[tuple[int, list]]:
         yield at, items[at : at + size]
 
 
-def _encoded(rows: DataFrame, features: list[str]) -> list:
-    """Per sampled row: label, features with counts, and the swaps as differences."""
+def copy_differences(
+    text: str, words: set[str], terms: Sequence[Sequence[str]], active: Sequence[Sequence[str]]
+) -> tuple[list[tuple[str | None, str]], list[tuple[str | None, str]]]:
+    """``(word out, word in)`` of the copies by swaps, and of those by the text's slot.
+
+    A slot takes a term that the text does not name; ``active`` are the sets it is drawn from.
+    """
+    named = slot_terms(text, active)
+    slots = []
+    if named is not None and not words.intersection(named):
+        slots = [(None, named[0])]
+        if named[1] != named[0]:
+            slots.append((named[0], named[1]))
+    return list(counterfactuals(words, terms)), slots
+
+
+_ENCODED = ("toxic", "lengths", "at", "times", "swap_lengths", "swap_at", "swap_times", "kinds")
+
+
+def _encoded(
+    rows: DataFrame, features: list[str], terms: Sequence[Sequence[str]]
+) -> dict[str, np.ndarray]:
+    """The sample as packed integers.
+
+    Per row the label and its features with counts; per copy whose logit can differ
+    from its text's the features that differ, and whether it comes from a slot.
+    """
     place = {f: n for n, f in enumerate(features)}
+    active = [group for group in terms if any(f in place for t in group for f in features_of(t))]
 
     def tally(words: set[str]) -> Counter:
         return Counter(place[f] for w in words for f in features_of(w) if f in place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toxic, at, times, swaps, swap_at, swap_times = [], [], [], [], [], []
+            out: dict[str, list[int]] = {name: [] for name in _ENCODED}
             for text, label in zip(batch.column("text"), batch.column("toxic")):
-                words = words_of(text.as_py())
+                plain = text.as_py() or ""
+                words = words_of(plain)
                 own = tally(words)
-                toxic.append(label.as_py())
-                at.append(list(own))
-                times.append(list(own.values()))
-                differences = []
-                for term, other in counterfactuals(words):
-                    change = tally({other})
-                    change.subtract(tally({term}))
-                    differences.append({f: n for f, n in change.items() if n})
-                swaps.append([len(d) for d in differences])
-                swap_at.append([f for d in differences for f in d])
-                swap_times.append([n for d in differences for n in d.values()])
-            lists = (at, times, swaps, swap_at, swap_times)
+                out["toxic"].append(label.as_py())
+                out["lengths"].append(len(own))
+                out["at"] += own.keys()
+                out["times"] += own.values()
+                for kind, copies in enumerate(copy_differences(plain, words, terms, active)):
+                    for before, after in copies:
+                        change = tally({after})
+                        if before is not None:
+                            change.subtract(tally({before}))
+                        change = {f: n for f, n in change.items() if n}
+                        if change:
+                            out["kinds"].append(kind)
+                            out["swap_lengths"].append(len(change))
+                            out["swap_at"] += change.keys()
+                            out["swap_times"] += change.values()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(toxic, pa.int32()), *[pa.array(v, pa.list_(pa.int32())) for v in lists]],
-                ["toxic", "at", "times", "swaps", "swap_at", "swap_times"],
+                [pa.array([np.array(out[name], "<i4").tobytes()], pa.binary()) for name in _ENCODED],
+                list(_ENCODED),
             )
 
-    ints = "array<int>"
-    return rows.mapInArrow(
-        run,
-        f"toxic int, at {ints}, times {ints}, swaps {ints}, swap_at {ints}, swap_times {ints}",
-    ).collect()  # at most ``max_labelled`` rows of a few integers
+    # At most ``max_labelled`` rows, four bytes per integer.
+    packed = rows.mapInArrow(run, ", ".join(f"{name} binary" for name in _ENCODED)).collect()
+    return {
+        name: np.frombuffer(b"".join(bytes(r[name]) for r in packed), "<i4").astype(np.int64)
+        for name in _ENCODED
+    }
 
 
 def fit(
@@ -268,31 +349,33 @@ def train(
     n_features: int = 4096,
     min_docs: int = 3,
     fairness: float = 1.0,
+    terms: Sequence[Sequence[str]] = IDENTITY_TERMS,
 ) -> Classifier:
     """Fit on at most ``max_labelled`` labelled rows outside the held-out fold.
 
+    ``terms`` are the sets of identity terms, in lower case; ``fairness`` weighs the
+    penalty on copies that name other groups.
+
     Without labels of both kinds the score is the share of toxic labels, or 0.5
     where there is none.
     """
     ship_package(docs.sparkSession)
     rows = training_rows(docs, labels, max_labelled)
-    features = choose_features(rows, n_features, min_docs)
-    found = _encoded(rows, features)
-    y = np.array([r["toxic"] for r in found], float)
+    features = choose_features(rows, n_features, min_docs, terms)
+    found = _encoded(rows, features, terms)
+    y = found["toxic"].astype(float)
     if not features:
         return Classifier({}, math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
 
-    def triples(places: str, values: str, lengths: list[int]) -> tuple:
-        return (
-            np.repeat(np.arange(len(lengths)), lengths),
-            np.array([v for r in found for v in r[places]], np.int64),
-            np.array([v for r in found for v in r[values]], np.int64),
-        )
+    def triples(places: str, values: str, lengths: str) -> tuple:
+        owners = np.repeat(np.arange(len(found[lengths])), found[lengths])
+        return owners, found[places], found[values]
 
-    own = triples("at", "times", [len(r["at"]) for r in found])
-    swaps = triples("swap_at", "swap_times", [n for r in found for n in r["swaps"]])
+    own, swaps = triples("at", "times", "lengths"), triples("swap_at", "swap_times", "swap_lengths")
     w, b = fit(y, own, swaps, len(features), fairness)
-    return Classifier({f: float(v) for f, v in zip(features, w) if v}, float(b))
+    slotted = int(found["kinds"].sum())
+    weights = {f: float(v) for f, v in zip(features, w) if v}
+    return Classifier(weights, float(b), len(found["kinds"]) - slotted, slotted)
 
 
 def score(docs: DataFrame, classifier: Classifier) -> DataFrame:
