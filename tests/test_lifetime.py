@@ -324,3 +324,22 @@ def test_pareto_values_need_no_python(spark, lines):
     predicted = lifetime.predict_purchases(history, params, pnbd, "v")
     plan = predicted._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("params", [(0.8, 6, 0.9, 12), (276, 1e4, 1e-4, 9900), (1e-4, 1e-4, 1e4, 1e4), (1e4, 1e-4, 0.3, 2)])
+def test_pnbd_scores_share_integrals_and_equal_the_rows(spark, params):
+    rng = np.random.default_rng(4)
+    t_cal = rng.integers(1, 300, 2000) / 7
+    t_x = np.minimum(np.floor(rng.random(2000) * 300) / 7, t_cal)
+    x = rng.integers(0, 4, 2000).astype(float)
+    rows = pnbd.Histories(x, t_x, t_cal)
+    assert rows.t.size <= 4 * 300  # by the calendar; the rows have 2000 intervals
+    columns = "x double, t_x double, t_cal double, weight bigint"
+    data = spark.createDataFrame([(*map(float, v), 2) for v in zip(x, t_x, t_cal, strict=True)], columns)
+    data = data.union(spark.createDataFrame([(None, 1.0, 2.0, 1)], columns))
+    point = dict(zip(pnbd.PARAMETERS, map(float, params), strict=True))
+    moved = {**point, "beta": point["beta"] * 1.01}
+    value = fitting.weighted(lifetime.pnbd_log_likelihood, list(point), "weight")
+    want = fitting.score_candidates(data, [point, moved], value).collect()
+    got = fitting.score_pnbd(data, [point, moved]).collect()
+    assert dict(map(tuple, got)) == pytest.approx(dict(map(tuple, want)), rel=1e-12)

@@ -6,12 +6,22 @@ columns.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tillscope.functions.special import hyp2f1, let, log_add, log_gamma, log_power_integral, log_rising
+from tillscope.functions.special import (
+    hyp2f1,
+    let,
+    log_add,
+    log_gamma,
+    log_power_integral,
+    log_power_integrals,
+    log_rising,
+)
 
 PARAMETERS = ("r", "alpha", "s", "beta")
 
@@ -37,6 +47,41 @@ def log_likelihood(params: Mapping[str, Column], x: Column, t_x: Column, t_cal:
     )
 
 
+class Histories:
+    """Rows (x, t_x, t_cal) for repeated likelihoods, with each distinct (x, time) kept once.
+
+    The paths that dropped out between t_x and t_cal are those that did so between t_x and the
+    last t_cal of all rows, less those between t_cal and then. So only one integral is needed for
+    a distinct (x, t_x) or (x, t_cal), of which a calendar has few. The part that is taken away is
+    never more than the paths alive at t_cal, so the sum keeps its digits.
+    """
+
+    def __init__(self, x: np.ndarray, t_x: np.ndarray, t_cal: np.ndarray):
+        n = x.size
+        self.end = t_cal.max()
+        both = np.stack([np.concatenate([x, x]), np.concatenate([t_x, t_cal])], axis=1)
+        order = np.lexsort((both[:, 1], both[:, 0]))
+        ordered = both[order]
+        new = np.concatenate([[True], (ordered[1:] != ordered[:-1]).any(axis=1)])
+        place = np.empty(2 * n, dtype=np.int64)
+        place[order] = np.cumsum(new) - 1
+        self.x, self.t = ordered[new].T
+        self.first, self.last = place[:n], place[n:]
+        self.some = t_cal > t_x
+        self.counts, self.count = np.unique(x, return_inverse=True)
+
+    def log_likelihoods(self, r: float, alpha: float, s: float, beta: float) -> np.ndarray:
+        """The values of ``log_likelihood`` for these rows."""
+        gone = math.log(s) + log_power_integrals(alpha, beta, r + self.x, s + 1, self.t, self.end)
+        alive = -(r + self.x) * np.log(alpha + self.t) - s * np.log(beta + self.t)
+        rising = np.array([math.lgamma(r + k) for k in self.counts]) - math.lgamma(r)
+        early, late, alive = gone[self.first], gone[self.last], alive[self.last]
+        high = np.maximum(early, alive)
+        both = np.exp(alive - high) + np.exp(early - high) - np.exp(late - high)
+        paths = np.where(self.some, high + np.log(both), alive)
+        return rising[self.count] + r * math.log(alpha) + s * math.log(beta) + paths
+
+
 def p_alive(params: Mapping[str, Column], x: Column, t_x: Column, t_cal: Column) -> Column:
     r, alpha, s, beta = (params[name] for name in PARAMETERS)
     log_odds = (

@@ -292,3 +292,30 @@ def log_power_integral(a: Column, b: Column, p: Column, q: Column, start: Column
     )
     scale = F.log(near + start) - p * F.log(a + start) - q * F.log(b + start)
     return F.when(end > start, let(shared, total) + scale)
+
+
+def log_power_integrals(
+    a: float, b: float, p: np.ndarray, q: float, start: np.ndarray, end: float
+) -> np.ndarray:
+    """``log_power_integral`` for one ``a``, ``b``, ``q`` and ``end``, over arrays; -inf at ``start = end``."""
+    inner, outer = (p, q) if a <= b else (q, p)
+    near = min(a, b)
+    width = np.log1p((end - start) / (near + start))
+    share = (near + start) / (max(a, b) + start)
+    rise = np.maximum(1 - inner, 0.0) * width
+    with np.errstate(divide="ignore", over="ignore"):
+        falls = np.where(inner > 1, _REACH / np.maximum(inner - 1, 0.0), np.inf)
+        reach = np.minimum(np.minimum(width, falls), np.log1p(np.expm1((_REACH + rise) / outer) / share))
+        slope, outer = np.broadcast_to(1 - inner, width.shape), np.broadcast_to(outer, width.shape)
+
+        def log_value(v: np.ndarray, rows: np.ndarray) -> np.ndarray:
+            return slope[rows] * v - outer[rows] * np.log1p(share[rows] * np.expm1(v))
+
+        every = np.arange(width.size)
+        short = (reach <= _SHORT_WIDTH) & (log_value(reach, every) >= -_SHORT_FALL)
+        total = np.zeros_like(width)
+        for rows, n in ((every[short], _SHORT_NODES), (every[~short], _NODES)):
+            for place, weight in zip(*np.polynomial.legendre.leggauss(n), strict=True):
+                total[rows] += weight / 2 * np.exp(log_value((place + 1) / 2 * reach[rows], rows))
+        scale = np.log(near + start) - p * np.log(a + start) - q * np.log(b + start)
+        return np.log(total * reach) + scale
