@@ -142,3 +142,21 @@ def test_summary_counts(spark):
     assert found["density"] == pytest.approx(7 / 12)
     assert found["item=a"] == 3 and found["size=1"] == 2
     assert found["size_median"] == 1.5
+
+
+def test_length_limit_holds_while_mining(spark):
+    """All sets of these items would be 2^40 - 1."""
+    items = [f"i{k:02d}" for k in range(40)]
+    mined = rules.mine_itemsets(_pairs(spark, [items, items, items[:1]]), 0.5, max_length=2)
+    counts = {tuple(r["items"]): r["count"] for r in mined.table.collect()}
+    assert len(counts) == 40 + 780
+    assert counts["i00",] == 3 and counts["i00", "i01"] == 2
+
+
+def test_mining_merges_baskets_and_refuses_repeats(spark):
+    mined = rules.mine_itemsets(_pairs(spark, ["abcdef"] * 30 + ["abcxyz"[k:] for k in range(6)]), 0.8)
+    counts = {tuple(r["items"]): r["count"] for r in mined.table.collect()}
+    want = [c for size in range(1, 7) for c in itertools.combinations("abcdef", size)]
+    assert sorted(counts) == sorted(want) and counts["a", "b", "c"] == 31 and mined.n_baskets == 36
+    with pytest.raises(Exception, match="comes twice"):
+        rules.mine_itemsets(_pairs(spark, ["aa"]), 0.5)
