@@ -160,3 +160,24 @@ def test_mining_merges_baskets_and_refuses_repeats(spark):
     assert sorted(counts) == sorted(want) and counts["a", "b", "c"] == 31 and mined.n_baskets == 36
     with pytest.raises(Exception, match="comes twice"):
         rules.mine_itemsets(_pairs(spark, ["aa"]), 0.5)
+
+
+@pytest.mark.parametrize("listed", [10_000, 0])
+def test_mining_baskets_equals_mining_pairs(spark, monkeypatch, listed):
+    """Rare items, repeated and untitled lines, by a listed and by a joined lookup of frequent items."""
+    monkeypatch.setattr(rules, "_LISTED_ITEMS", listed)
+    rng = random.Random(5)
+    rows = [(str(k), i) for k in range(200) for i in rng.choices("abcdefgh", [9, 7, 5, 3, 2, 1, 1, 1], k=6)]
+    rows += [(str(k), f"rare{k}") for k in range(200)] + [("200", None), (None, "a"), (None, "b"), ("201", "")]
+    lines = spark.createDataFrame(rows, "order_id string, product_title string")
+    mined = [
+        rules.mine_itemsets(baskets.order_items(lines), 0.1),
+        rules.mine_baskets(baskets.collect_baskets(lines), 0.1),
+    ]
+    counts = [{tuple(r["items"]): r["count"] for r in m.table.collect()} for m in mined]
+    assert counts[0] == counts[1] and max(map(len, counts[0])) >= 3
+    assert [m.n_baskets for m in mined] == [202, 202]
+    held = [{i for o, i in rows if o == str(k)} for k in range(200)] + [{"a", "b"}, {""}]
+    for size in (1, 2, 3):
+        want = {s for s in itertools.combinations("abcdefgh", size) if sum(set(s) <= h for h in held) >= 21}
+        assert {s for s in counts[1] if len(s) == size} == want

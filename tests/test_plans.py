@@ -5,6 +5,7 @@ import io
 
 import pytest
 
+from tillscope.operators.baskets import collect_baskets
 from tillscope.operators.lifetime import event_log, purchase_history
 from tillscope.plans.catalogue import QUERIES
 from tillscope.plans.test_tables import order_lines
@@ -67,3 +68,11 @@ def test_lifetime_history_needs_two_shuffles(spark, data):
     flat = spark.createDataFrame(flat.limit(10).collect(), flat.schema)
     plan = _plan(purchase_history(event_log(flat, "1999-01-01"), "1999-01-01"))
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_baskets_need_one_shuffle(spark, data):
+    """On a flat table: a task sends each of its orders once, with distinct items."""
+    flat = order_lines(spark, data, ["order_id", "product_title"])
+    flat = spark.createDataFrame(flat.limit(10).collect(), flat.schema)
+    plan = _plan(collect_baskets(flat))
+    assert plan.count("Exchange hashpartitioning") == 1 and "partial_collect_set" in plan

@@ -72,7 +72,7 @@ def priced_rules(
     max_length: int = rules.MAX_LENGTH,
 ) -> DataFrame:
     """Mine, prune and price rules: the rule report."""
-    itemsets = rules.mine_itemsets(baskets.order_items(lines, item), min_support, max_length)
+    itemsets = rules.mine_baskets(baskets.collect_baskets(lines, item), min_support, max_length)
     # Rules are read several times by the pruning and by the report.
     found = materialise(rules.association_rules(itemsets, min_confidence))
     return margins.rule_report(materialise(rules.prune_subsumed(found)), item_margins)
