@@ -181,3 +181,13 @@ def test_mining_baskets_equals_mining_pairs(spark, monkeypatch, listed):
     for size in (1, 2, 3):
         want = {s for s in itertools.combinations("abcdefgh", size) if sum(set(s) <= h for h in held) >= 21}
         assert {s for s in counts[1] if len(s) == size} == want
+
+
+def test_rows_too_short_to_grow_are_not_made(spark):
+    """A head that is grown needs two later items, one for the next set and one that may extend it."""
+    held = spark.createDataFrame([(list("abcd"), 1), (list("xy"), 1)], "rest array<string>, weight long")
+    found = {("".join(r["head"]), "".join(r["rest"])) for r in rules._heads(held, least=2).collect()}
+    assert found == {("a", "bcd"), ("b", "cd")}
+    level = spark.createDataFrame([(["a"], "b"), (["a"], "d"), (["b"], "c")], "head array<string>, item string")
+    grown = rules._grow(rules._heads(held, least=2), level).collect()
+    assert [("".join(r["head"]), "".join(r["rest"])) for r in grown] == [("ab", "d")]
