@@ -3,10 +3,14 @@
 import itertools
 import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from compare import check, connect
 from pyspark.sql import functions as F
 
 from tillscope.operators import baskets, margins, rules
+from tillscope.plans.catalogue import QUERIES
 
 RULE = "antecedent array<string>, consequent array<string>"
 
@@ -191,3 +195,36 @@ def test_rows_too_short_to_grow_are_not_made(spark):
     level = spark.createDataFrame([(["a"], "b"), (["a"], "d"), (["b"], "c")], "head array<string>, item string")
     grown = rules._grow(rules._heads(held, least=2), level).collect()
     assert [("".join(r["head"]), "".join(r["rest"])) for r in grown] == [("ab", "d")]
+
+
+def _star(root, found):
+    """Baskets as the tables that order lines are made of."""
+    names = sorted({item for basket in found for item in basket})
+    lines = [(order, names.index(item)) for order, basket in enumerate(found) for item in basket]
+    orders, parts = range(len(found)), range(len(names))
+    tables = {
+        "customer": {"c_custkey": [0], "c_nationkey": [0]},
+        "orders": {"o_orderkey": orders, "o_custkey": [0] * len(found), "o_orderdate": ["1999-01-01"] * len(found)},
+        "part": {"p_partkey": parts, "p_name": names, "p_type": names, "p_brand": names},
+        "lineitem": {
+            "l_orderkey": [order for order, _ in lines],
+            "l_partkey": [part for _, part in lines],
+            "l_extendedprice": [1.0] * len(lines),
+            "l_discount": [0.0] * len(lines),
+        },
+    }
+    for name, columns in tables.items():
+        pq.write_table(pa.table({k: list(v) for k, v in columns.items()}), f"{root}/{name}.parquet")
+
+
+def test_query_mines_at_the_support_and_length_of_the_reference(spark, tmp_path):
+    """Of 2,400 orders two make a frequent set, of ten items at most."""
+    found = ["abcdefghijk"] * 2 + ["xyz"] * 2 + ["xyq"] + ["m"] * 2395
+    _star(tmp_path, found)
+    rows = QUERIES["mba_frequent_itemsets"](spark, str(tmp_path)).collect()
+    counts = {tuple(r["items"].split(",")): r["count"] for r in rows}
+    want = dict.fromkeys((s for k in range(1, 11) for s in itertools.combinations("abcdefghijk", k)), 2)
+    want |= {("x",): 3, ("y",): 3, ("z",): 2, ("x", "y"): 3, ("x", "z"): 2, ("y", "z"): 2, ("x", "y", "z"): 2}
+    assert counts == want | {("m",): 2395}
+    good, note = check(spark, connect(str(tmp_path)), str(tmp_path), "mba_frequent_itemsets")
+    assert good, note
